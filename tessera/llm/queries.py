@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, quality, tokens
+from tessera.llm import decontaminate, hamming, html_text, mixing, quality, tokens, url_filter, warc
 from tessera.llm.common import table
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every vector whose id is divisible by 100, among all."""
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(docs, bench, with_spans=False)
@@ -30,11 +36,71 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op3_decontamination, op4_mixing, op5_token_counts, op7_quality)}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captures against a list of hosts, domains and URLs made from the pages themselves: the
+    tables have neither a list nor dates, so both come from ids and digests, alike in Spark and in SQL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = pages.withColumn("fetched", day(F.pmod("page_id", F.lit(365))))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("h")).where("h is not null").distinct()
+    domains = hosts.select(F.substring_index("h", ".", -2).alias("h")).distinct()
+    names = hosts.select(F.lit("host").alias("kind"), F.col("h").alias("pattern")).unionByName(domains.select(F.lit("domain").alias("kind"), F.col("h").alias("pattern")))
+    digit = lambda i: F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), i, 1), 16, 10).cast("int")
+    changes = F.array(*[F.struct(day(digit(2) * 10 + shift).alias("listed"), F.lit(action).alias("action")) for shift, action in ((0, "add"), (45, "remove"), (120, "add"), (120, "add"), (200, "remove"), (200, "add"))])
+    named = names.where(digit(1) < 5).select("kind", "pattern", F.inline(changes))
+    urls = pages.where("page_id % 17 = 0").select(F.lit("url").alias("kind"), F.col("url").alias("pattern"), day(F.pmod("page_id", F.lit(300))).alias("listed"), F.lit("add").alias("action"))
+    return url_filter.filter_urls(captures, named.unionByName(urls)).select("page_id", "fetched", "blocked", "rule", "pattern", "listed_from")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {q.__name__: q for q in (op1_hamming_topk, op3_decontamination, op4_mixing, op5_token_counts, op7_quality, op8_url_filter, op9_html_text, op10_warc)}
 
 _WORDS3 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_HOST = "nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\\.$', ''), '')"
+_CHANGES = "(values (0, 'add'), (45, 'remove'), (120, 'add'), (200, 'add'), (200, 'remove')) c(shift, action)"
+_DIGIT = "(strpos('0123456789abcdef', substr(md5(pattern), {}, 1)) - 1)::int"
+
 ORACLE_SQL = {
+    "op1_hamming_topk": """
+with c as (select vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) b from embeddings where embedding is not null),
+d as (select q.vec_id query_id, r.vec_id neighbour_id, len(list_filter(list_zip(q.b, r.b), lambda z: z[1] <> z[2]))::int distance
+      from c q, c r where q.vec_id % 100 = 0 and q.vec_id <> r.vec_id),
+k as (select *, row_number() over (partition by query_id order by distance, neighbour_id)::int "rank" from d)
+select query_id, "rank", neighbour_id, distance from k where "rank" <= 10""",
+    "op8_url_filter": f"""
+with p as (select page_id, url, regexp_replace(url, '#.*$', '') u, {_HOST} h, date '2024-01-01' + (page_id % 365)::int fetched from pages),
+names as (select distinct 'host' kind, h pattern from p where h is not null union
+          select distinct 'domain', array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') from p where h is not null),
+entries as (
+  select kind, pattern, date '2024-01-01' + ({_DIGIT.format(2)} * 10 + shift)::int listed, action from names, {_CHANGES} where {_DIGIT.format(1)} < 5
+  union all select 'url', u, date '2024-01-01' + (page_id % 300)::int, 'add' from p where page_id % 17 = 0),
+daily as (select kind, pattern, listed, max(action) action from entries group by all),
+spans as (select kind, pattern, action, listed since, lead(listed) over (partition by kind, pattern order by listed) until from daily),
+runs as (select *, sum(case when was is distinct from action then 1 else 0 end) over (partition by kind, pattern order by since) run
+         from (select *, lag(action) over (partition by kind, pattern order by since) was from spans)),
+held as (select kind, pattern, min(since) since, case when bool_or(until is null) then null else max(until) end until
+         from runs where action = 'add' group by kind, pattern, run),
+hit as (
+  select p.page_id, kind as rule, pattern, since, row_number() over (partition by p.page_id order by case kind when 'url' then 0 when 'host' then 1 else 2 end, length(pattern) desc) k
+  from p join held on (kind = 'url' and pattern = u or kind = 'host' and pattern = h or kind = 'domain' and (h = pattern or ends_with(h, '.' || pattern)))
+  and since <= fetched and (until is null or fetched < until))
+select p.page_id, p.fetched, rule is not null blocked, rule, pattern, since listed_from from p left join hit on p.page_id = hit.page_id and k = 1""",
+    "op10_warc": """
+with p as (select page_id, coalesce(html, '') h from pages),
+f as (select page_id, octet_length(encode(h)) n, sha1(h) x, min(page_id) over (partition by h) first from p),
+b as (select *, array_to_string(list_transform(string_split(x, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') bits from f)
+select page_id, n::bigint payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(string_split(substr(bits, 1 + 5 * i, 5), ''), lambda c: c::int), lambda a, c: 2 * a + c)::int, 1)), '') payload_digest,
+       case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to
+from b""",
     "op3_decontamination": f"""
 with item as (select coalesce(item_id::varchar, '') id, {_WORDS3} w from benchmark),
 win as (
