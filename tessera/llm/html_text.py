@@ -5,7 +5,8 @@ article, sidebar, form, script, advert, notice, reader comments: by tag name, or
 leaves an empty line, and so does a block outside an article that is mostly links. Lengths are summed over
 sliding windows of ``WINDOW`` lines: text surges where a sum rises from zero and dives where it falls to
 zero again. Runs of lines between those points are kept if they lie in an article or main element, or, on
-a page without one, if a window in them reaches ``SURGE`` characters; failing that, the longest run is.
+a page without one, from the first to the last run in which a window reaches ``SURGE`` characters; failing
+that, the longest run is. Where there is neither element, a div or section named like one stands for it.
 
 Defined results: a null or empty page, and one without text, gives ""; tags that are never closed are
 ignored as containers (script and style run to the end); rows that repeat are extracted one by one; an
@@ -26,9 +27,9 @@ from tessera.llm.common import small_batches
 WINDOW, SURGE = 3, 80
 RESULTS = ("text", "n_chars")
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|button|object|noframes)\b[^>]*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+|[^>]*)>",
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+|[^<>]*)>",
     re.I | re.S,
 )
 #: Their text belongs to the line around them.
@@ -46,6 +47,8 @@ HINTS = frozenset(
 #: Of these, the ones that hold even beside a name of the main text, as in "article-comments".
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsored promo comment comments related share sharing sidebar nav navigation menu footer cookie cookies newsletter disqus respond reply".split())
 MAIN = frozenset("article content main story".split())
+#: Names of the element that holds the main text where there is no article or main element.
+HOLDERS = MAIN | frozenset("post entry articlebody".split())
 HEADER = frozenset(("header", "masthead", "banner"))
 
 
@@ -68,6 +71,13 @@ def _is_boilerplate(name: str, attrs: str, in_article: bool, wraps: bool, hints:
     return False
 
 
+def _holds(attrs: str) -> bool:
+    for key, a, b, c in ATTR.findall(attrs):
+        if key.lower() != "hidden" and set(WORDS.findall((a or b or c).lower())) & HOLDERS:
+            return True
+    return False
+
+
 def _clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
@@ -91,6 +101,7 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
     mains = [0]  # article and main elements that begin before each mark
     for k, m in enumerate(marks):
         mains.append(mains[-1] + (names[k] in ARTICLE and not m["end"] and k in closes and not _is_boilerplate(names[k], m["attrs"], True, False, hints)))
+    held = mains[-1] == 0 and hints
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -134,7 +145,7 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
             continue
         elif name == "a":
             link += k in closes
-        elif name in ARTICLE and k in closes:
+        elif k in closes and (name in ARTICLE or held and name in ("div", "section", "td") and m["attrs"] and _holds(m["attrs"])):
             flush()
             article_ends.append(closes[k])
         if name == "br":
@@ -174,7 +185,8 @@ def main_text(page: str | None) -> str:
     for w in weights:
         sums.append(sums[-1] + w)
     peak = {r: max(sums[min(i + WINDOW, r[1])] - sums[i] for i in range(*r)) for r in runs}
-    kept = [r for r in runs if peak[r] >= SURGE] or [max(runs, key=lambda r: (sums[r[1]] - sums[r[0]], -r[0]))]
+    surged = [r for r in runs if peak[r] >= SURGE]
+    kept = [r for r in runs if surged and surged[0] <= r <= surged[-1]] or [max(runs, key=lambda r: (sums[r[1]] - sums[r[0]], -r[0]))]
     return " ".join(found[i][0] for r in kept for i in range(*r))
 
 
