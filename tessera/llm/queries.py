@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, hamming, html_text, mixing, quality, tokens, url_filter, warc
+from tessera.llm import decontaminate, hamming, html_text, mixing, neardup, quality, tokens, url_filter, warc
 from tessera.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -60,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {q.__name__: q for q in (op1_hamming_topk, op3_decontamination, op4_mixing, op5_token_counts, op7_quality, op8_url_filter, op9_html_text, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_hamming_topk, op3_decontamination, op4_mixing, op5_token_counts, op6_minhash, op7_quality, op8_url_filter, op9_html_text, op10_warc)}
 
 _WORDS3 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
