@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, hamming, html_text, mixing, neardup, quality, tokens, url_filter, warc
+from tessera.llm import decontaminate, hamming, html_text, linededup, mixing, neardup, quality, tokens, url_filter, warc
 from tessera.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(codes, codes.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_gone").cast("long").alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(docs, bench, with_spans=False)
@@ -65,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {q.__name__: q for q in (op1_hamming_topk, op3_decontamination, op4_mixing, op5_token_counts, op6_minhash, op7_quality, op8_url_filter, op9_html_text, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_hamming_topk, op2_line_dedup, op3_decontamination, op4_mixing, op5_token_counts, op6_minhash, op7_quality, op8_url_filter, op9_html_text, op10_warc)}
 
 _WORDS3 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -80,6 +85,14 @@ d as (select q.vec_id query_id, r.vec_id neighbour_id, len(list_filter(list_zip(
       from c q, c r where q.vec_id % 100 = 0 and q.vec_id <> r.vec_id),
 k as (select *, row_number() over (partition by query_id order by distance, neighbour_id)::int "rank" from d)
 select query_id, "rank", neighbour_id, distance from k where "rank" <= 10""",
+    "op2_line_dedup": """
+with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from documents),
+u as (select line, length(line) n, min((doc_id, no)) place from l where trim(line) <> '' group by line),
+near as (select distinct b.line from u a join u b on b.n between a.n - 1 and a.n + 1 and a.place < b.place
+         where a.n >= 20 and b.n >= 20 and (left(a.line, a.n // 2 - 1) = left(b.line, a.n // 2 - 1) or right(a.line, a.n // 2 - 1) = right(b.line, a.n // 2 - 1)) and levenshtein(a.line, b.line) <= 1),
+k as (select l.*, trim(l.line) = '' or (u.place = (l.doc_id, l.no) and near.line is null) kept from l left join u using (line) left join near using (line))
+select doc_id, count(*)::bigint n_lines, count(*) filter (where not kept)::bigint n_dropped, md5(coalesce(string_agg(line, chr(10) order by no) filter (where kept), '')) kept_md5
+from k group by doc_id""",
     "op8_url_filter": f"""
 with p as (select page_id, url, regexp_replace(url, '#.*$', '') u, {_HOST} h, date '2024-01-01' + (page_id % 365)::int fetched from pages),
 names as (select distinct 'host' kind, h pattern from p where h is not null union
