@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, quality
+from tessera.llm import decontaminate, linededup, mixing, neardup, quality
 from tessera.llm.common import Scratch, table
 
 
@@ -20,12 +20,35 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, model, score_col="_quality").where(F.col("_quality") >= 0.3).select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, up to one edit, go; so do documents of which no line is left."""
+    out = linededup.dedup_lines(docs)
+    emptied = (F.col("_n_gone") > 0) & (F.trim(F.regexp_replace("text", r"\n", "")) == "")
+    return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share 80 % of their shingles of five words, the one with the smallest id stays."""
+    return neardup.keep_first(docs, words=5, percent=80)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; benchmark passages in the others are cut out."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality classifier", quality_classifier), ("benchmark decontamination", benchmark_decontamination)]
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix of sources takes, once or twice."""
+    return mixing.take(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing_sources),
+]
 
 #: No SQL states the trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None

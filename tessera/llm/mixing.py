@@ -132,9 +132,9 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """``docs`` without the text column's work repeated: id, source, size, source_size, target, taken."""
+    """(doc_id, row, source, size, source_size, target, taken); row is a hash that tells texts with one id apart."""
     scratch = Scratch(docs.sparkSession, "mix")
-    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
+    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"), F.xxhash64(F.col(text_col)).alias("row"))
     light = scratch.write(light, "sizes")
     lengths = scratch.write(light.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     targets = source_targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights=weights, budget=budget, most=most)
@@ -152,6 +152,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     over = W.partitionBy("source", "size").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sized = scratch.write(sized.select(F.col("source").alias("_bs"), F.col("size").alias("_bsize"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_before")), "buckets")
     j = joined.join(sized, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("size") == F.col("_bsize")) & (F.col("_b") == F.col("_bb")), "left")
-    rank = F.row_number().over(W.partitionBy(*key).orderBy("_h", F.col("doc_id").asc_nulls_last())) + F.coalesce(F.col("_before"), F.lit(0))
+    rank = F.row_number().over(W.partitionBy(*key).orderBy("_h", F.col("doc_id").asc_nulls_last(), "row")) + F.coalesce(F.col("_before"), F.lit(0))
     extra = F.when(F.col("more") >= F.col("n"), 1).when(F.col("more") <= 0, 0).otherwise((F.col("_rank") <= F.col("more")).cast("int"))
-    return j.withColumn("_rank", rank).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).cast("long").alias("taken"))
+    return j.withColumn("_rank", rank).select("doc_id", "row", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The documents that the mix takes, with their columns and size, source_size, target, taken and copies."""
+    number = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.lit(0)))  # noqa: E731  of equal rows
+    mixed = mix(docs, id_col=id_col, text_col=text_col, **kw).withColumn("_mk", number("doc_id", "row"))
+    mixed = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("_mid"), F.col("row").alias("_mrow"), "_mk", *RESULTS, F.expr("taken div size").alias("copies"))
+    keep = [c for c in docs.columns if c not in (*RESULTS, "copies")]
+    own = docs.select(*keep).withColumn("_row", F.xxhash64(text_col))
+    own = own.withColumn("_k", number(id_col, "_row"))
+    return own.join(mixed, F.col(id_col).eqNullSafe(F.col("_mid")) & (F.col("_row") == F.col("_mrow")) & (F.col("_k") == F.col("_mk"))).select(*keep, *RESULTS, "copies")
