@@ -17,7 +17,7 @@ MAX_U64 = (1 << 64) - 1
 def u64_hex(c: Column, wide: bool = True) -> Column:
     """Sixteen hex digits; ``wide`` if values can be 2^63 or more (a decimal column)."""
     if wide:
-        c = F.when(c >= F.lit(1 << 63).cast(U64), c - F.lit(1 << 64).cast(T.DecimalType(21, 0))).otherwise(c).cast("bigint")
+        c = F.when(c >= F.lit(str(1 << 63)).cast(U64), c - F.lit(str(1 << 64)).cast(T.DecimalType(21, 0))).otherwise(c).cast("bigint")
     return F.lpad(F.hex(c), 16, "0")
 
 
@@ -45,6 +45,11 @@ def key_bytes(value: str | int, order: str = "le") -> bytes:
     return value.to_bytes(8, "little" if order == "le" else "big")
 
 
+def lit_value(value: str | int, kind: T.DataType) -> Column:
+    """A literal of the column's type; by way of text, as numbers can be too large for a long."""
+    return F.lit(str(value)).cast(kind)
+
+
 def lit_key(raw: bytes) -> Column:
     """A binary literal (foldable, so that it is pushed to the scan)."""
     return F.lit(bytearray(raw))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import key_bytes, key_column, lit_key
+from tessera.functions.keys import key_bytes, key_column, lit_key, lit_value
 
 KEY = "__key"
 
@@ -27,14 +27,14 @@ def _shown(df: DataFrame) -> list[str]:
 
 def query(df: DataFrame, pk: str, value: str | int) -> DataFrame:
     """The row with this key, if there is one."""
-    return df.where(F.col(pk) == F.lit(value).cast(df.schema[pk].dataType)).select(*_shown(df))
+    return df.where(F.col(pk) == lit_value(value, df.schema[pk].dataType)).select(*_shown(df))
 
 
 def between(df: DataFrame, pk: str, lo: str | int, hi: str | int, order: str = "le") -> Column:
     """lo <= key <= hi in key order; a native comparison where that order is the column's own."""
     if KEY not in df.columns and (order == "be" or isinstance(lo, str)):
         kind = df.schema[pk].dataType
-        return F.col(pk).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind))
+        return F.col(pk).between(lit_value(lo, kind), lit_value(hi, kind))
     key = F.col(KEY) if KEY in df.columns else key_column(F.col(pk), df.schema[pk].dataType, order)
     return key.between(lit_key(key_bytes(lo, order)), lit_key(key_bytes(hi, order)))
 
@@ -58,7 +58,7 @@ def in_list(df: DataFrame, pk: str, keys: Sequence[str | int], pos: str | None =
     """
     spark, kind = df.sparkSession, df.schema[pk].dataType
     wanted = spark.createDataFrame([(i, str(k)) for i, k in enumerate(keys)], "__pos long, __text string").select("__pos", F.col("__text").cast(kind).alias("__wanted"))
-    found = df.where(F.col(pk).isin([F.lit(k).cast(kind) for k in dict.fromkeys(keys)])) if 0 < len(keys) <= 1000 else df
+    found = df.where(F.col(pk).isin([lit_value(k, kind) for k in dict.fromkeys(keys)])) if 0 < len(keys) <= 1000 else df
     out = found.join(F.broadcast(wanted) if len(keys) <= 100_000 else wanted, F.col(pk) == F.col("__wanted")).orderBy("__pos")
     return out.select(*([F.col("__pos").alias(pos)] if pos else []), *_shown(df))
 
@@ -78,7 +78,7 @@ def page(df: DataFrame, pk: str, lo: str | int | None, n: int, *, after: bool =
     """A cursor's next n rows in key order, from lo on, or after it; a top-n plan, no full sort."""
     by = ordering(df, pk, order)
     if lo is not None:
-        bound = lit_key(key_bytes(lo, order)) if KEY in df.columns or order == "le" and not isinstance(lo, str) else F.lit(lo).cast(df.schema[pk].dataType)
+        bound = lit_key(key_bytes(lo, order)) if KEY in df.columns or order == "le" and not isinstance(lo, str) else lit_value(lo, df.schema[pk].dataType)
         df = df.where(by > bound if after else by >= bound)
     return df.orderBy(by).limit(n).select(*_shown(df))
 

@@ -17,13 +17,14 @@ def outcomes(current_keys: DataFrame, ops: DataFrame, pk: str, pos: str = "pos",
     """``ops`` with ``outcome``: the reply to each of NEW, UPDATE and DELETE applied in order of ``pos``.
 
     Whether a key is present before an operation follows from the last NEW or DELETE of that key before it, done or
-    refused, and otherwise from the table; so a window over the key tells all replies at once.
+    refused, and otherwise from the table; so a window over the key tells all replies at once. A verb with a mark
+    behind it ("NEW!") is answered alike, but changes nothing.
     """
     now = current_keys.select(F.col(pk).alias("__k")).withColumn("__there", F.lit(True))
     before = W.partitionBy(pk).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
     decides = F.when(F.col(op) == "NEW", True).when(F.col(op) == "DELETE", False)
     marked = ops.join(now, F.col(pk) == F.col("__k"), "left").withColumn("__before", F.coalesce(F.last(decides, ignorenulls=True).over(before), F.col("__there"), F.lit(False)))
-    outcome = F.when(F.col(op) == "NEW", F.when(F.col("__before"), DUPLICATE).otherwise(OK)).otherwise(F.when(F.col("__before"), OK).otherwise(MISSING))
+    outcome = F.when(F.col(op).startswith("NEW"), F.when(F.col("__before"), DUPLICATE).otherwise(OK)).otherwise(F.when(F.col("__before"), OK).otherwise(MISSING))
     return marked.withColumn("outcome", outcome).drop("__k", "__there", "__before")
 
 
