@@ -59,5 +59,19 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def maybe_in(df: DataFrame, by: Column, keys: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``df`` whose ``by`` may be a ``key`` of ``keys``: all that are, and few others.
+
+    A bit set of the keys' hashes, 64 bits a row and 2^20 rows at most whatever their number, is broadcast and
+    looked up on the map side, so that a join that follows shuffles little. ``keys`` is a written table.
+    """
+    words = 1 << max(8, min(20, (keys.count() // 4).bit_length()))
+    spot = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(7), c), 6), F.lit(words))
+    bit = lambda c: F.xxhash64(F.lit(7), c).bitwiseAND(F.lit(63)).cast("int")
+    bits = keys.groupBy(spot(key).alias("_spot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(key))).alias("_bits"))
+    near = df.withColumns({"_at": spot(by), "_bit": bit(by)}).join(F.broadcast(bits), F.col("_at") == F.col("_spot"))
+    return near.where(F.getbit("_bits", F.col("_bit")) == 1).select(*df.columns)
+
+
 def utf8(c: Column) -> Column:
     return F.encode(c, "UTF-8")

@@ -8,7 +8,7 @@ covered and leaves. Ties are broken by id.
 
 Codes that repeat are one entry with its k + 1 smallest ids, which is all that a top-k can return of them;
 the cut is made before the shuffle. A pair is verified once: in the round of its smallest segment distance,
-in the first such segment. What a round adds is reduced to the best k + 1 per query before the shuffle.
+in the first such segment, and passed on only if it is no farther than the k-th one so far. What a round adds is reduced to the best k + 1 per query before the shuffle.
 
 Defined results: a null vector has no code, is not found, and finds nothing; null elements and ones that are
 not positive are 0 bits; a null id sorts first; a table of up to k codes gives all there are; rows that repeat a
@@ -45,25 +45,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "ve
     shape = codes.agg(F.count("*").alias("n"), F.max(F.size("code")).alias("m")).first()
     enough, m = min(most, shape["n"]), shape["m"] or 1
     wanted = scratch.write(queries.select(F.col(id_col).alias("query_id"), F.col(code_col).alias("query")).where(F.col(code_col).isNotNull()), "queries")
-    open_ = wanted.select("query").distinct()
+    open_ = scratch.write(wanted.select("query").distinct().withColumns({"bound": F.lit(None).cast("int"), "radius": F.lit(0)}), "open")
     masks = spark.range(1 << BITS).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("radius"))  # 65,536 rows, whatever the data
     entries = codes.select("code", F.when(F.col("nulls") == 0, F.get("ids", F.lit(0))).alias("first"), F.posexplode("code").alias("segment", "value"))
     index = entries.repartition("segment", "value").persist()
     best = done = None
     for r in range(BITS + 1):
-        shell = F.broadcast(masks.where(F.col("radius") == r))
-        keys = open_.withColumn("radius", F.lit(r)).join(shell, "radius").select("query", "mask", F.posexplode("query").alias("segment", "_v"))
-        keys = keys.select("query", "segment", F.col("_v").bitwiseXOR(F.col("mask")).alias("value"))
+        keys = open_.join(F.broadcast(masks), "radius").select("query", "bound", "mask", F.posexplode("query").alias("segment", "_v"))
+        keys = keys.select("query", "bound", "segment", F.col("_v").bitwiseXOR(F.col("mask")).alias("value"))
         apart = F.zip_with("query", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        met = keys.join(index, ["segment", "value"]).withColumn("_apart", apart)
-        met = met.where(F.array_position("_apart", F.lit(r)) == F.col("segment") + 1).where(F.array_min("_apart") == r)
-        met = met.select("query", "code", "first", F.aggregate("_apart", F.lit(0), lambda s, x: s + x).alias("distance"))
+        distance = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
+        new = (F.array_position(apart, F.lit(r)) == F.col("segment") + 1) & (F.array_min(apart) == r)
+        met = keys.join(index, ["segment", "value"]).where(new & (F.col("bound").isNull() | (distance <= F.col("bound"))))
+        met = met.select("query", "code", "first", distance.alias("distance"))
         over = W.partitionBy("query").orderBy("distance", F.col("first").asc_nulls_first(), "code")
         pool = met if best is None else best.unionByName(met)
         found = scratch.write(pool.withColumn("_k", F.row_number().over(over)).where(F.col("_k") <= most).drop("_k"), f"found{r}")
         stats = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         covered = (F.coalesce("n", F.lit(0)) >= enough) & (F.coalesce("far", F.lit(0)) <= m * (r + 1) - 1)
-        rest = scratch.write(open_.join(stats, "query", "left").where(~covered).select("query"), f"open{r}")
+        rest = scratch.write(open_.join(stats, "query", "left").where(~covered).select("query", F.when(F.col("n") >= enough, F.col("far")).alias("bound"), F.lit(r + 1).alias("radius")), f"open{r}")
         closed = found.join(rest, "query", "left_anti")
         done = closed if done is None else done.unionByName(closed)
         best, open_ = found.join(rest, "query", "left_semi"), rest

@@ -10,7 +10,7 @@ Exact repeats are groups by MD5 with the smallest place kept, aggregated before
    Lines whose halves (for n and for n - 1) nobody shares can have no partner and are left out.
 2. The others emit a hashed key for each way to delete one character, and keys for the whole line. A long line
    does this block by block of ``BLOCK`` characters, the rest of it hashed once, so the work grows with the
-   line's length and not with its square. Keys that only one line has are dropped after partial aggregation.
+   line's length and not with its square. Keys that only one line has are dropped after aggregation.
 3. Lines that share a key with the same deleted place differ in that character only; a line whose own key
    equals a deletion of another is that one less a character. In either group each line is paired with the
    earliest only, never with all, and the pair is verified by edit distance.
@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, maybe_in
 
 BLOCK = 256
 
@@ -69,7 +69,8 @@ def _near(lines: DataFrame, scratch: Scratch) -> DataFrame:
     keys = _keys(lines)
     tag = F.xxhash64("d")
     shared = keys.groupBy("v").agg(F.min(tag).alias("_a"), F.max(tag).alias("_b")).where(F.col("_a") != F.col("_b")).select("v")
-    met = scratch.write(keys.join(shared, "v", "left_semi"), "met")
+    shared = scratch.write(shared, "shared")
+    met = scratch.write(maybe_in(keys, F.col("v"), shared, F.col("v")).join(shared, "v", "left_semi"), "met")
     deleted, itself = met.where(F.col("at") > 0), met.where(F.col("at") == 0)
     lowest = F.min(F.struct("place", "d")).alias("low")
     same = deleted.join(deleted.groupBy("v", "at").agg(lowest), ["v", "at"])
@@ -95,14 +96,16 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         halved = distinct.where(F.col("halves").isNotNull()).select("d", F.explode("halves").alias("half"))
         tag = F.xxhash64("d")
         common = halved.groupBy("half").agg(F.min(tag).alias("_a"), F.max(tag).alias("_b")).where(F.col("_a") != F.col("_b")).select("half")
-        some = scratch.write(halved.join(common, "half", "left_semi").select("d").distinct().join(first, "d"), "some")
-        texts = occ.join(some.select("d", "place"), "d").where(place == F.col("place")).select("d", "place", "line").dropDuplicates(["d"])
+        common = scratch.write(common, "common")
+        found = scratch.write(maybe_in(halved, F.col("half"), common, F.col("half")).join(common, "half", "left_semi").select("d").distinct(), "found")
+        some = scratch.write(maybe_in(first, F.col("d"), found, F.col("d")).join(found, "d", "left_semi"), "some")
+        texts = maybe_in(occ, F.col("d"), some, F.col("d")).join(some.select("d", "place"), "d").where(place == F.col("place")).select("d", "place", "line").dropDuplicates(["d"])
         near = scratch.write(_near(scratch.write(texts, "texts"), scratch), "near").withColumn("near", F.lit(True))
         first = first.join(near, "d", "left")
     else:
         first = first.withColumn("near", F.lit(None).cast("boolean"))
-    first = first.where((F.col("n") > 1) | F.col("near"))  # only lines of which some occurrence goes
-    lost = occ.select("id", "row", "no", "d").join(first, "d").where(F.coalesce("near", F.lit(False)) | ~F.col("place").eqNullSafe(place))
+    first = scratch.write(first.where((F.col("n") > 1) | F.col("near")), "going")  # only lines of which some occurrence goes
+    lost = maybe_in(occ.select("id", "row", "no", "d"), F.col("d"), first, F.col("d")).join(first, "d").where(F.coalesce("near", F.lit(False)) | ~F.col("place").eqNullSafe(place))
     return lost.groupBy("id", "row").agg(F.collect_set("no").alias("gone"))
 
 

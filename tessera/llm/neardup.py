@@ -6,11 +6,11 @@ classes that share a band are candidates. A candidate pair is compared batch by
 after m of n hashes agree, it is pruned if the posterior probability (uniform prior) that the similarity
 reaches the threshold is below ``miss``. Survivors are verified on the full sets, so no link is wrong.
 
-No bucket is expanded into all its pairs. First, every member is compared with its bucket's smallest class,
-which takes as many pairs as there are members, and components are formed. Only buckets whose members are
-still in several components remain; there, members outside the component of the smallest are held against
-all others in blocks of at most about ``BLOCK`` rows, whatever the bucket's size, and a block returns
-only links that join components. Links and components stay distributed.
+No bucket is expanded into all its pairs. First, every member is compared with one of its bucket, another one
+in each band, which takes as many pairs as there are members, and components are formed; so again, ``TURNS``
+times, for members that are not in that one's component. Only buckets whose members are still in several
+components remain; there, members outside the largest component are held against all others in blocks of
+about ``BLOCK`` rows, whatever the bucket's size, and a block returns only links that join components. Links and components stay distributed.
 
 Defined results: a null or empty text, or one of white space, has no shingles and is linked with nothing;
 rows that repeat an id are rows of their own with that id; a null id is larger than any; equal texts are one
@@ -37,6 +37,8 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 BATCH, MISS = 25, 1e-5
 BLOCK = 256
+#: Times that a bucket's members are compared with one of them.
+TURNS = 3
 #: Words with a remembered hash; a full memo is emptied.
 MEMO = 500_000
 _RNG = np.random.default_rng(20_011)
@@ -281,21 +283,33 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
     found = scratch.write(source.mapInArrow(_features(words), f"doc_id {kind}, n_shingles long, cid binary, bands array<long>"), "features")
     classes = scratch.write(found.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cid", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where(F.col("n") > 1)
+    buckets = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = scratch.write(banded.join(buckets, ["band", "h"]), "members")
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select(F.col("rep").alias("_rep"))
     text = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
     text = scratch.write(text.mapInArrow(_candidates(words), "cid binary, text string, sig binary").dropDuplicates(["cid"]), "candidates")
     a = text.select(F.col("cid").alias("a"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"))
     b = text.select(F.col("cid").alias("b"), F.col("text").alias("text_b"), F.col("sig").alias("sig_b"))
-    stars = members.where(F.col("cid") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    pairs = stars.join(b, "b").join(a, "a")
-    links = scratch.write(pairs.mapInArrow(_verify(words, percent, least), "a binary, b binary"), "stars")
-    comp = scratch.write(label(links, scratch), "components1")
-    # what the stars leave: buckets of three or more with several components
-    placed = members.where(F.col("n") > 2).join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = placed.groupBy("band", "h").agg(F.max(F.when(F.col("cid") == F.col("pivot"), F.col("comp"))).alias("main"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where(F.col("_low") != F.col("_high"))
-    open_ = scratch.write(placed.where(F.col("cid") != F.col("pivot")).join(mixed.select("band", "h", "main"), ["band", "h"]), "open")
+
+    def star(rows: DataFrame, turn: int) -> DataFrame:
+        """Links of each bucket's members with one of them, another one in each band and turn."""
+        pick = rows.groupBy("band", "h").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64(F.lit(turn), "band", "cid")).alias("pivot"))
+        met = rows.join(pick, ["band", "h"]).where(F.col("comp") != F.col("pivot")["comp"])
+        pairs = met.select(F.least("cid", F.col("pivot")["cid"]).alias("a"), F.greatest("cid", F.col("pivot")["cid"]).alias("b")).distinct()
+        return scratch.write(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(words, percent, least), "a binary, b binary"), f"stars{turn}")
+
+    def mixed(comp: DataFrame) -> DataFrame:
+        """Members of buckets of three or more whose members are in several components; main: the largest there."""
+        placed = members.where(F.col("n") > 2).join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        parts = placed.groupBy("band", "h", "comp").agg(F.count("*").alias("c"))
+        several = parts.groupBy("band", "h").agg(F.count("*").alias("parts"), F.max_by("comp", "c").alias("main")).where(F.col("parts") > 1)
+        return scratch.write(placed.join(several.select("band", "h", "main"), ["band", "h"]), "mixed")
+
+    links = star(members.withColumn("comp", F.col("cid")), 0)
+    open_ = mixed(scratch.write(label(links, scratch), "components"))
+    for turn in range(1, TURNS):
+        links = links.unionByName(star(open_, turn))
+        open_ = mixed(scratch.write(label(links, scratch), "components"))
     outside = F.col("comp") != F.col("main")
     sizes = open_.groupBy("band", "h").agg(F.count_if(outside).alias("lefts"), F.count("*").alias("rights")).where((F.col("lefts") > 0) & (F.col("rights") > 1))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
@@ -309,7 +323,7 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.join(first, "comp").select(F.col("cid").alias("_cid"), "component_id")
-    scratch.drop(members, text, links, more, open_)
+    scratch.drop(members, text, more, open_)
     out = found.select("doc_id", "n_shingles", "cid").join(by_class, F.col("cid") == F.col("_cid"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
