@@ -74,7 +74,7 @@ def key_bits(key: Column) -> Column:
 
 def bits_to_key(bits: Column) -> Column:
     """The bytes of a string of bits whose length is a multiple of eight."""
-    nibbles = F.transform(F.sequence(F.lit(0), F.length(bits) / 4 - 1), lambda i: F.conv(F.substring(bits, (i * 4 + 1).cast("int"), F.lit(4)), 2, 16))
+    nibbles = F.transform(F.sequence(F.lit(0), F.floor(F.length(bits) / 4).cast("int") - 1), lambda i: F.conv(F.substring(bits, i * 4 + 1, F.lit(4)), 2, 16))
     return F.unhex(F.when(F.length(bits) > 0, F.array_join(nibbles, "")).otherwise(""))
 
 

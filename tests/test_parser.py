@@ -1,0 +1,70 @@
+import pytest
+
+from tessera.plans.lexer import CommandError, lex
+from tessera.plans.parser import ColumnDef, TableSchema, parse
+
+SCHEMA = TableSchema("t", (ColumnDef("id", "number"), ColumnDef("s", "string")), 0)
+
+
+def schema_of(name):
+    if name != "t":
+        raise CommandError(f"unknown table: {name}")
+    return SCHEMA
+
+
+def test_tokens():
+    assert [x.kind for x in lex("NEW(t, 1, 'a b')")] == ["keyword", "mark", "ident", "mark", "number", "mark", "string", "mark", "end"]
+    assert lex("count")[0] == ("keyword", "COUNT") and lex("counts")[0] == ("ident", "counts")
+
+
+@pytest.mark.parametrize(
+    ("text", "verb", "rows", "keys"),
+    [
+        ("new(t, 1, 'a')", "NEW", ((1, "a"),), (1,)),
+        ("BULK t (1, 'a') (2, '')", "BULK", ((1, "a"), (2, "")), ()),
+        ("BULK t", "BULK", (), ()),
+        ("IN(t, 3 1, 3)", "IN", (), (3, 1, 3)),
+        ("IN(t, )", "IN", (), ()),
+        ("RANGE(t, 1, 18446744073709551615)", "RANGE", (), (1, 2**64 - 1)),
+        ("STATS", "STATS", (), ()),
+        ("HELP", "HELP", (), ()),
+        ("CHAINS(t)", "CHAINS", (), ()),
+    ],
+)
+def test_commands(text, verb, rows, keys):
+    c = parse(text, schema_of)
+    assert (c.verb, c.rows, c.keys) == (verb, rows, keys)
+
+
+def test_table():
+    s = parse("TABLE u(a string b NUMBER PRIMARY KEY, c number)", schema_of).schema
+    assert [(c.name, c.kind) for c in s.columns] == [("a", "string"), ("b", "number"), ("c", "number")] and s.key.name == "b"
+
+
+@pytest.mark.parametrize(
+    ("text", "reason"),
+    [
+        ("hello", "expected command keyword"),
+        ("PRIMARY", "unknown command: PRIMARY"),
+        ("NEW(t, 1, 'a", "unterminated string literal"),
+        ("NEW(t, -1, 'a')", "unexpected character: -"),
+        ("NEW(t, 1.5, 'a')", "unexpected character: ."),
+        ("NEW(t, 1)", "unexpected token: ')'"),
+        ("NEW(t, 1, 'a') x", "unexpected token: 'x'"),
+        ("NEW(t, 1, 'a', 2)", "unexpected token: ','"),
+        ("NEW(t, 'x', 'a')", "expected number, got 'x'"),
+        ("NEW(t, 1, 2)", "expected string, got '2'"),
+        ("NEW(t, 18446744073709551616, 'a')", "number out of range: 18446744073709551616"),
+        ("NEW(", "unexpected end of command"),
+        ("QUERY(u, 1)", "unknown table: u"),
+        ("TABLE u(a string)", "TABLE 'u' has no PRIMARY KEY"),
+        ("TABLE u(a date PRIMARY KEY)", "unknown type: date"),
+        ("TABLE u(a string PRIMARY)", "expected keyword KEY"),
+        ("TABLE u(a string PRIMARY KEY, a number)", "duplicate column: a"),
+        ("TABLE u(count string PRIMARY KEY)", "unexpected token: 'COUNT'"),
+        ("BULK t (1, 'a'), (2, 'b')", "unexpected token: ','"),
+    ],
+)
+def test_refusals(text, reason):
+    with pytest.raises(CommandError, match="^" + __import__("re").escape(reason)):
+        parse(text, schema_of)
