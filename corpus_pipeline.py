@@ -8,7 +8,6 @@ scratch folder, and the next stage reads that.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, linededup, mixing, neardup, quality
 from tessera.llm.common import Scratch, table
@@ -17,14 +16,12 @@ from tessera.llm.common import Scratch, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.3 or more stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, score_col="_quality").where(F.col("_quality") >= 0.3).select(*docs.columns)
+    return quality.keep_good(docs, model, least=0.3)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, up to one edit, go; so do documents of which no line is left."""
-    out = linededup.dedup_lines(docs)
-    emptied = (F.col("_n_gone") > 0) & (F.trim(F.regexp_replace("text", r"\n", "")) == "")
-    return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    return linededup.keep_new_text(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

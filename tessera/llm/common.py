@@ -73,5 +73,10 @@ def maybe_in(df: DataFrame, by: Column, keys: DataFrame, key: Column) -> DataFra
     return near.where(F.getbit("_bits", F.col("_bit")) == 1).select(*df.columns)
 
 
-def utf8(c: Column) -> Column:
-    return F.encode(c, "UTF-8")
+def own_names(df: DataFrame) -> tuple[DataFrame, list[Column], dict[str, str]]:
+    """``df`` with its columns named c0, c1, ...; columns that bring their names back; and the new name of each.
+
+    Whatever the caller's columns are called, they can't clash with those that an operator adds.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()], names

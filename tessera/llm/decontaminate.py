@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, small_batches
+from tessera.llm.common import Scratch, own_names, small_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_OR_CAPITAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -169,13 +169,14 @@ def is_contaminated(share: int = 20, prefix: str = ""):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: int = 20, **kw) -> DataFrame:
     """Drop contaminated documents, and cut the hit passages out of the others; same columns as ``docs``."""
-    p = "_dc_"
-    found = find_contamination(docs, benchmark, text_col=text_col, prefix=p, **kw).where(~is_contaminated(share, p))
-    text, spans = F.col(text_col), F.col(f"{p}spans")
+    own, _, names = own_names(docs)
+    found = find_contamination(own, benchmark, text_col=names[text_col], **kw).where(~is_contaminated(share))
+    text, spans = F.col(names[text_col]), F.col("spans")
     cut = F.aggregate(
         spans,
         F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
         lambda s, x: F.struct(F.concat(s["text"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).alias("text"), x["end"].alias("at")),
         lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(text)).select(*docs.columns)
+    new = F.when(F.size(spans) > 0, cut).otherwise(text)
+    return found.select(*[(new if c == text_col else F.col(n)).alias(c) for c, n in names.items()])

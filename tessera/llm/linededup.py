@@ -17,7 +17,8 @@ Exact repeats are groups by MD5 with the smallest place kept, aggregated before
 
 Defined results: a null text stays null, and a text without lines stays as it is; a null id comes first; rows
 that repeat with equal text are one occurrence and all keep their lines; a document that loses all its lines
-gets the text ""; an empty table gives none. Other columns are passed on untouched.
+gets the text ""; an empty table gives none. Other columns are passed on untouched, whatever their names, but for
+ones named like the two counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, maybe_in
+from tessera.llm.common import Scratch, maybe_in, own_names
 
 BLOCK = 256
 
@@ -112,9 +113,18 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with the text's repeated lines taken out, and the columns as they are; _n_lines and _n_gone besides."""
     lost = dropped_lines(docs, id_col=id_col, text_col=text_col, **kw).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "gone")
-    text = F.col(text_col)
-    joined = docs.withColumn("_key", F.xxhash64(text.cast("string"))).join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    own, _, names = own_names(docs.drop("_n_lines", "_n_gone"))
+    text = F.col(names[text_col])
+    joined = own.withColumn("_key", F.xxhash64(text.cast("string"))).join(lost, F.col(names[id_col]).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = joined.withColumns({text_col: F.when(F.col("gone").isNull(), text).otherwise(kept), "_n_lines": F.coalesce(F.size(lines), F.lit(0)), "_n_gone": F.coalesce(F.size("gone"), F.lit(0))})
-    return out.select(*docs.columns, "_n_lines", "_n_gone")
+    new = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    return joined.select(*[(new if c == text_col else F.col(n)).alias(c) for c, n in names.items()], F.coalesce(F.size(lines), F.lit(0)).alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("_n_gone"))
+
+
+def keep_new_text(docs: DataFrame, *, text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` without repeated lines, and without the documents of which no text is left; same columns."""
+    own, back, names = own_names(docs)
+    own = dedup_lines(own, text_col=names[text_col], **(kw | {"id_col": names[kw.get("id_col", "doc_id")]}))
+    emptied = (F.col("_n_gone") > 0) & (F.trim(F.regexp_replace(names[text_col], r"\n", "")) == "")
+    return own.where(~F.coalesce(emptied, F.lit(False))).select(*back)

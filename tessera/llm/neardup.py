@@ -15,7 +15,8 @@ about ``BLOCK`` rows, whatever the bucket's size, and a block returns only links
 Defined results: a null or empty text, or one of white space, has no shingles and is linked with nothing;
 rows that repeat an id are rows of their own with that id; a null id is larger than any; equal texts are one
 class; an empty table gives none. Columns other than id and text are ignored by ``components``, and
-``keep_first`` returns the columns of its input.
+``keep_first`` returns the columns of its input, whatever their names. Of texts with one id, each is judged by itself,
+and of rows that repeat both, one stays; rows without shingles all stay.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small_batches
+from tessera.llm.common import Scratch, own_names, small_batches
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -147,7 +148,7 @@ def _features(words: int):
                 n.append(len(z))
                 ids.append(class_id(z) if len(z) else None)
                 keys.append(bands(signature(z)) if len(z) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cid", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "cid", "bands"])
 
     return run
 
@@ -274,13 +275,14 @@ def label(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
 
 
 def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+    """(doc_id, row, n_shingles, component_id, component) for every row; row is a hash that tells texts with one id apart,
+    component the class that names the component, null without shingles."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch, least = Scratch(spark, "neardup"), least_agreement(percent / 100, miss)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    found = scratch.write(source.mapInArrow(_features(words), f"doc_id {kind}, n_shingles long, cid binary, bands array<long>"), "features")
+    found = scratch.write(source.withColumn("row", F.xxhash64("text")).mapInArrow(_features(words), f"doc_id {kind}, row long, n_shingles long, cid binary, bands array<long>"), "features")
     classes = scratch.write(found.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cid", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -322,14 +324,25 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
     comp = scratch.write(label(links.unionByName(more), scratch), "components2")
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(first, "comp").select(F.col("cid").alias("_cid"), "component_id")
+    by_class = named.join(first, "comp").select(F.col("cid").alias("_cid"), "component_id", F.col("comp").alias("component"))
     scratch.drop(members, text, more, open_)
-    out = found.select("doc_id", "n_shingles", "cid").join(by_class, F.col("cid") == F.col("_cid"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = found.select("doc_id", "row", "n_shingles", "cid").join(by_class, F.col("cid") == F.col("_cid"), "left")
+    return out.select("doc_id", "row", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
-    """Documents that are the first of their component; of rows that repeat an id and a component, all."""
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """Documents that are the first of their component, by id and then by a hash of the text."""
     scratch = Scratch(docs.sparkSession, "keep")
-    gone = components(docs, id_col=id_col, **kw).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(scratch.write(gone.distinct(), "gone"), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    found = scratch.write(components(docs, id_col=id_col, text_col=text_col, **kw).where(F.col("component").isNotNull()).select("doc_id", "row", "component"), "found")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    by = found.join(first, "component").withColumn("is_first", place == F.col("first"))
+    gone = scratch.write(by.where(~F.col("is_first")).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_text")).distinct(), "gone")
+    again = scratch.write(by.where("is_first").groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("_gone"), F.col("row").alias("_text")), "again")
+    own, back, names = own_names(docs)
+    own = own.withColumn("_row", F.xxhash64(F.col(names[text_col]).cast("string")))
+    same = F.col(names[id_col]).eqNullSafe(F.col("_gone")) & (F.col("_row") == F.col("_text"))
+    kept = own.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(own.join(again, same, "left_semi").dropDuplicates([names[id_col], "_row"]))
+    return kept.select(*back)

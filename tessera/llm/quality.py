@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import own_names, small_batches
 
 BUCKETS, DIM = 1 << 17, 16
 GRAMS = (2, 3, 4)
@@ -164,3 +164,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([scorer(t) for t in raw], pa.float64())], names=[*keep, score_col])
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, T.StructType(docs.select(*keep).schema.fields + [T.StructField(score_col, T.DoubleType())]))
+
+
+def keep_good(docs: DataFrame, model: Model, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` with a score of ``least`` or more; same columns."""
+    own, back, names = own_names(docs)
+    return score(own, model, text_col=names[text_col]).where(F.col("score") >= least).select(*back)

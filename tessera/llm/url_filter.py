@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.llm.common import own_names
+
 RESULTS = ("blocked", "rule", "pattern", "listed_from")
 
 
@@ -54,9 +56,9 @@ def _gathered(keys: DataFrame, held: DataFrame, on: list[str], by: str) -> DataF
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
     """``captures`` with blocked, and of the most special active entry its rule, pattern and first day."""
-    keep = [c for c in captures.columns if c not in RESULTS]
+    own, back, names = own_names(captures.drop(*RESULTS))
     held = intervals(entries)
-    c = captures.select(*keep).withColumns({"_host": host_of(F.col(url_col)), "_url": url_key(F.col(url_col)), "_day": F.to_date(F.col(fetched_col))})
+    c = own.withColumns({"_host": host_of(F.col(names[url_col])), "_url": url_key(F.col(names[url_col])), "_day": F.to_date(F.col(names[fetched_col]))})
     hosts = c.select("_host").where(F.col("_host").isNotNull()).distinct()
     labels = F.split("_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern"), i.alias("_order")))
@@ -70,4 +72,4 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
     every = F.concat(F.coalesce("_by_url", nothing), F.coalesce("_by_host", nothing))
     active = F.filter(every, lambda x: (x["since"] <= F.col("_day")) & (x["until"].isNull() | (F.col("_day") < x["until"])))
     j = j.withColumn("_x", F.get(active, F.lit(0)))
-    return j.select(*keep, F.col("_x").isNotNull().alias("blocked"), F.col("_x")["rule"].alias("rule"), F.col("_x")["pattern"].alias("pattern"), F.col("_x")["since"].alias("listed_from"))
+    return j.select(*back, F.col("_x").isNotNull().alias("blocked"), F.col("_x")["rule"].alias("rule"), F.col("_x")["pattern"].alias("pattern"), F.col("_x")["since"].alias("listed_from"))
