@@ -15,6 +15,7 @@ any label every score is 0.5. Rows that repeat are scored one by one; an empty t
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,30 +33,35 @@ SAMPLE, EPOCHS, RATE, SEED = 6_000, 8, 0.4, 11
 MEMO = 300_000
 #: Of a longer word the n-grams are taken like those of any other, but nothing is remembered.
 MEMO_LENGTH = 64
-
-
-def features(word: bytes) -> np.ndarray:
-    """Buckets of a word (lead byte 0) and its n-grams of bytes between boundary marks."""
-    marked = b"\x01" + word + b"\x02"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return np.array([xxhash.xxh32_intdigest(g) for g in (b"\x00" + word, *grams)], np.uint32) % np.uint32(BUCKETS)
+#: Words whose n-grams are hashed at a time.
+CHUNK = 4096
+
+
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their n-grams of bytes between boundary marks, and the index of each one's word."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    raw = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]) + bytes(max(GRAMS)), np.uint8).astype(np.uint32)
+    n, owner = len(raw) - max(GRAMS), np.repeat(np.arange(len(words)), size)
+    room = np.repeat(np.cumsum(size), size) - np.arange(n)  # bytes up to the word's end
+    found, owners = [np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))], [np.arange(len(words))]
+    for g in GRAMS:
+        fits = room >= g
+        code = sum(raw[k : k + n] << np.uint32(8 * k) for k in range(g))[fits]
+        code = (code ^ np.uint32(g * 0x3C6EF372)) * np.uint32(0x9E3779B1)
+        found.append((code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA77))
+        owners.append(owner[fits])
+    return np.concatenate(found) >> np.uint32(32 - BUCKETS.bit_length() + 1), np.concatenate(owners)
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    if not words:
+    counted = Counter((text or "").encode("utf-8", "surrogatepass").split())
+    if not counted:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    total: dict[int, int] = {}
-    counted: dict[bytes, int] = {}
-    for w in words:
-        counted[w] = counted.get(w, 0) + 1
-    for w, n in counted.items():
-        for b in features(w).tolist():
-            total[b] = total.get(b, 0) + n
-    ids = np.fromiter(total, np.int32, len(total))
-    n = np.fromiter(total.values(), np.float64, len(total))
-    return ids, (n / n.sum()).astype(np.float32)
+    buckets, owners = features(list(counted))
+    n = np.bincount(buckets, np.fromiter(counted.values(), np.float64, len(counted))[owners], BUCKETS)
+    ids = np.flatnonzero(n)
+    return ids.astype(np.int32), (n[ids] / n.sum()).astype(np.float32)
 
 
 class Model:
@@ -121,22 +127,24 @@ class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.model, self.memo = weights, Model(weights, bias), {}
 
-    def word(self, w: bytes) -> complex:
-        """Sum of weights, and their number as the imaginary part."""
-        f = features(w)
-        return complex(float(self.weights[f].sum()), len(f))
+    def learn(self, words: list[bytes]) -> dict[bytes, complex]:
+        """Of each word the sum of its weights, and their number as the imaginary part."""
+        buckets, owners = features(words)
+        total, n = np.bincount(owners, self.weights[buckets], len(words)), np.bincount(owners, minlength=len(words))
+        return dict(zip(words, (total + 1j * n).tolist(), strict=True))
 
     def __call__(self, text: str | bytes | None) -> float:
-        memo, total = self.memo, 0j
-        for w in (text or b"").split():
-            x = memo.get(w)
-            if x is None:
-                x = self.word(w)
-                if len(w) <= MEMO_LENGTH:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[w] = x
-            total += x
+        words, memo = (text or b"").split(), self.memo
+        new = [w for w in dict.fromkeys(words) if w not in memo]
+        if len(memo) + len(new) > MEMO and memo:
+            memo.clear()
+            new = list(dict.fromkeys(words))
+        for i in range(0, len(new), CHUNK):
+            memo.update(self.learn(new[i : i + CHUNK]))
+        total = sum(map(memo.__getitem__, words), 0j)
+        for w in new:
+            if len(w) > MEMO_LENGTH or len(memo) > MEMO:
+                del memo[w]
         return self.model.score(total.real / total.imag if total.imag else 0.0)
 
 
