@@ -210,7 +210,9 @@ def _verify(words: int, percent: int, least: list[int]):
 def _block(words: int, percent: int, least: list[int]):
     """Links that join components between the left and the right rows of a block of one bucket.
 
-    A pair is looked at in the first band that it shares only, so buckets don't repeat each other's work.
+    A pair is looked at in the first band that it shares only, so buckets don't repeat each other's work. Two
+    members outside the largest component meet in two blocks, once each as the left one; the block with the smaller
+    id on the left looks at them, whatever the order of rows.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -228,11 +230,11 @@ def _block(words: int, percent: int, least: list[int]):
 
             sig = {s: np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, HASHES) for s, f in ((0, left), (1, right))}
             lc, rc, lt, rt, lp, rp = (f[c].tolist() for c in ("cid", "text", "comp") for f in (left, right))
-            place = {c: i for i, c in enumerate(lc)}
+            outside = right["outside"].tolist()
             for j in range(len(right)):
                 ok = plausible(sig[0], np.broadcast_to(sig[1][j], sig[0].shape), least)
                 for i in np.flatnonzero(ok).tolist():
-                    if lc[i] == rc[j] or find(lp[i]) == find(rp[j]) or place.get(rc[j], len(lc)) < i:
+                    if lc[i] == rc[j] or find(lp[i]) == find(rp[j]) or outside[j] and rc[j] < lc[i]:
                         continue
                     same = (sig[0][i] == sig[1][j]).reshape(BANDS, ROWS).all(1)
                     if int(same.argmax()) == band and linked(sets(lc[i], lt[i]), sets(rc[j], rt[j]), percent):
@@ -317,8 +319,8 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
     blocks = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
     own = lambda c: F.pmod(F.xxhash64("cid"), blocks(c)).cast("int")
     rest = open_.join(sizes, ["band", "h"])
-    lefts = rest.where(outside).select("cid", "comp", "band", "h", own("lefts").alias("i"), F.explode(F.sequence(F.lit(0), blocks("rights") - 1)).alias("j"), F.lit(0).alias("side"))
-    rights = rest.select("cid", "comp", "band", "h", F.explode(F.sequence(F.lit(0), blocks("lefts") - 1)).alias("i"), own("rights").alias("j"), F.lit(1).alias("side"))
+    lefts = rest.where(outside).select("cid", "comp", "band", "h", own("lefts").alias("i"), F.explode(F.sequence(F.lit(0), blocks("rights") - 1)).alias("j"), F.lit(0).alias("side"), outside.alias("outside"))
+    rights = rest.select("cid", "comp", "band", "h", F.explode(F.sequence(F.lit(0), blocks("lefts") - 1)).alias("i"), own("rights").alias("j"), F.lit(1).alias("side"), outside.alias("outside"))
     dealt = lefts.unionByName(rights).join(text, "cid")
     more = scratch.write(dealt.groupBy("band", "h", "i", "j").applyInPandas(_block(words, percent, least), "a binary, b binary"), "rest")
     comp = scratch.write(label(links.unionByName(more), scratch), "components2")

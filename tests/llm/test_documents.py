@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import support
 from helpers import hostile, own_values
@@ -127,6 +128,28 @@ def test_large_bucket_of_chains(spark):
     assert got == brute_components(rows, 3, 70)
 
 
+def test_blocks_lose_no_pair_whatever_the_order_of_rows():
+    """One bucket dealt into blocks of about 8 as ``components`` deals it; each cell's rows come in an order of its own."""
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    texts = [" ".join([*base[:60], *(f"own{k // 2}x{i}" for i in range(60)), f"last{k}"]) for k in range(64)]
+    z = [neardup.shingles(t.encode(), 3) for t in texts]
+    cids = [neardup.class_id(x) for x in z]
+    sig = neardup.signature(z[0]).tobytes()  # one signature for all: every pair is plausible, and first shares band 0
+    main, n = cids[0], 8
+    rows = pd.DataFrame({"cid": cids, "comp": cids, "text": texts, "sig": [sig] * 64, "outside": [c != main for c in cids], "at": [rng.randrange(n) for _ in cids], "to": [rng.randrange(n) for _ in cids]})
+    run, got = neardup._block(3, 80, neardup.least_agreement(0.8)), []
+    for i in range(n):
+        for j in range(n):
+            left = rows[rows["outside"] & (rows["at"] == i)].assign(side=0)
+            right = rows[rows["to"] == j].assign(side=1)
+            cell = pd.concat([left, right]).assign(band=0).sample(frac=1, random_state=n * i + j)
+            got += run(cell).itertuples(index=False, name=None)
+    pairs = [tuple(sorted((cids.index(a), cids.index(b)))) for a, b in got]
+    assert set(pairs) == {(k, k + 1) for k in range(0, 64, 2)}  # none is lost
+    assert len(pairs) == 32  # and none is looked at twice
+
+
 def test_bayesian_bounds():
     least = neardup.least_agreement(0.85)
     assert least[0] == 0 and all(a <= b <= a + 1 for a, b in zip(least, least[1:], strict=False))
