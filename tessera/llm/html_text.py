@@ -4,9 +4,12 @@ Markup is stripped to lines, one for each block; a boilerplate element (menu, he
 article, sidebar, form, script, advert, notice, reader comments: by tag name, or by class, id and role)
 leaves an empty line, and so does a block outside an article that is mostly links. Lengths are summed over
 sliding windows of ``WINDOW`` lines: text surges where a sum rises from zero and dives where it falls to
-zero again. Runs of lines between those points are kept if they lie in an article or main element, or, on
-a page without one, from the first to the last run in which a window reaches ``SURGE`` characters; failing
-that, the longest run is. Where there is neither element, a div or section named like one stands for it.
+zero again. On a page without an article or main element, the runs of lines between those points are kept from
+the first to the last one in which a window reaches ``SURGE`` characters; failing that, the longest run is. On a
+page with one, membership is a weight: the articles' lines count ``LEAN`` times against the largest part outside,
+between a surge and a dive or an article's border. If that part still outweighs them all, they are teasers and the
+page is taken as one without; otherwise they stay, and so does each part outside that surges and is at least as long
+as the longest article. Where there is neither element, a div or section named like one stands for it.
 
 Defined results: a null or empty page, and one without text, gives ""; tags that are never closed are
 ignored as containers (script and style run to the end); rows that repeat are extracted one by one; an
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import small_batches
 
 WINDOW, SURGE = 3, 80
+#: What a character in an article weighs against one outside.
+LEAN = 4
 RESULTS = ("text", "n_chars")
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
@@ -82,8 +87,8 @@ def _clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
-    """Of each line its text, its length outside links, and whether it lies in an article; "" for boilerplate."""
+def lines(page: str, hints: bool = True) -> list[tuple[str, int, int]]:
+    """Of each line its text, its length outside links, and a number of the outermost article it lies in or 0; "" for boilerplate."""
     marks = [m for m in MARKUP.finditer(page)]
     # the close tag of each open one, by name
     closes: dict[int, int] = {}
@@ -102,7 +107,7 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
     for k, m in enumerate(marks):
         mains.append(mains[-1] + (names[k] in ARTICLE and not m["end"] and k in closes and not _is_boilerplate(names[k], m["attrs"], True, False, hints)))
     held = mains[-1] == 0 and hints
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
     link = 0  # nesting of links
@@ -112,7 +117,7 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
         if parts:
             text = _clean(parts)
             if text:
-                out.append((text, max(0, len(text) - len(_clean(linked))), bool(article_ends)))
+                out.append((text, max(0, len(text) - len(_clean(linked))), article_ends[0] if article_ends else 0))
             parts.clear()
             linked.clear()
 
@@ -137,7 +142,7 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
                 article_ends.pop()
         elif k in closes and _is_boilerplate(name, m["attrs"], bool(article_ends), mains[closes[k]] > mains[k + 1], hints):
             flush()
-            out.append(("", 0, bool(article_ends)))
+            out.append(("", 0, article_ends[0] if article_ends else 0))
             at = marks[closes[k]].end()
             k = closes[k] + 1
             while article_ends and article_ends[-1] < k:  # crossed tags
@@ -161,14 +166,8 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = lines(page)
-    if not any(t for t, _, _ in found):  # a wrapper was named like boilerplate
-        found = lines(page, hints=False)
-    weights = [n if inside or 2 * n > len(text) else 0 for text, n, inside in found]
-    weights = [max(w, len(t)) if inside and t else w for (t, _, inside), w in zip(found, weights, strict=True)]
+def _surged(weights: list[int]) -> list[tuple[int, int]]:
+    """Runs of lines with a weight, from the first to the last one that surges; failing that, the longest."""
     runs: list[tuple[int, int]] = []
     start = None
     for i, w in enumerate([*weights, 0]):
@@ -178,16 +177,47 @@ def main_text(page: str | None) -> str:
             runs.append((start, i))  # dive
             start = None
     if not runs:
-        return ""
-    if any(x[2] and x[0] for x in found):
-        return " ".join(t for t, _, inside in found if inside and t)
+        return []
     sums = [0]
     for w in weights:
         sums.append(sums[-1] + w)
     peak = {r: max(sums[min(i + WINDOW, r[1])] - sums[i] for i in range(*r)) for r in runs}
     surged = [r for r in runs if peak[r] >= SURGE]
-    kept = [r for r in runs if surged and surged[0] <= r <= surged[-1]] or [max(runs, key=lambda r: (sums[r[1]] - sums[r[0]], -r[0]))]
-    return " ".join(found[i][0] for r in kept for i in range(*r))
+    return [r for r in runs if surged and surged[0] <= r <= surged[-1]] or [max(runs, key=lambda r: (sums[r[1]] - sums[r[0]], -r[0]))]
+
+
+def _parts(weights: list[int], articles: list[int]) -> list[tuple[int, int]]:
+    """Parts outside articles, each from a surge to a dive of the window sums or to an article's border."""
+    parts: list[tuple[int, int]] = []
+    start, last = None, 0
+    for i, (w, article) in enumerate(zip([*weights, 0], [*articles, 1], strict=True)):
+        if start is not None and (article or i - last > WINDOW):
+            parts.append((start, last + 1))
+            start = None
+        if w and not article:
+            start, last = i if start is None else start, i
+    return parts
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    found = lines(page)
+    if not any(t for t, _, _ in found):  # a wrapper was named like boilerplate
+        found = lines(page, hints=False)
+    outer = [0 if article or 2 * n <= len(text) else n for text, n, article in found]
+    length: dict[int, int] = {}
+    for text, _, article in found:
+        if article and text:
+            length[article] = length.get(article, 0) + len(text)
+    if not length:
+        return " ".join(found[i][0] for r in _surged(outer) for i in range(*r))
+    parts = [(sum(outer[i:j]), max(sum(outer[k : min(k + WINDOW, j)]) for k in range(i, j)), i, j) for i, j in _parts(outer, [x[2] for x in found])]
+    if parts and max(parts)[0] > LEAN * sum(length.values()) and max(p[1] for p in parts) >= SURGE:
+        return " ".join(found[i][0] for r in _surged(outer) for i in range(*r))
+    longest = max(length.values())
+    beside = {k for size, peak, i, j in parts if peak >= SURGE and size >= longest for k in range(i, j) if outer[k]}
+    return " ".join(t for k, (t, _, article) in enumerate(found) if t and (article or k in beside))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

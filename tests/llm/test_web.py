@@ -36,6 +36,24 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+BODY = "".join(f"<p>Paragraph {i} of the body, with enough words in it to surge over a window.</p>" for i in range(12))
+BODY_TEXT = " ".join(f"Paragraph {i} of the body, with enough words in it to surge over a window." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div>{BODY}</div><aside>x</aside><article><h3>Teaser</h3><p>Read more of it.</p></article>", BODY_TEXT),
+        (f"<article><p>{'Intro words. ' * 20}</p></article><div>{BODY}</div>", ("Intro words. " * 20) + BODY_TEXT),
+        (f"<div>{BODY[: len(BODY) // 2]}<div class=ad>x</div>{BODY[len(BODY) // 2 :]}</div><article><p>Teaser.</p></article>", None),
+        (f"<p>A line of some words about the site, its owners and its terms, long enough to surge.</p><article>{BODY}</article>", BODY_TEXT),
+    ],
+)
+def test_windows_choose_between_articles_and_the_rest(page, text):
+    got = html_text.main_text(page)
+    assert got == text if text else "Paragraph 0 " in got and "Paragraph 11 " in got and "Teaser" not in got
+
+
 def test_broken_pages_take_linear_time():
     for page in ("<" * 200_000, "<a " * 60_000, '<div class="' * 40_000, "<p>" * 60_000, "<div>" * 60_000 + "x", "&amp;" * 100_000):
         start = time.process_time()
