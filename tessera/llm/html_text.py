@@ -9,7 +9,8 @@ the first to the last one in which a window reaches ``SURGE`` characters; failin
 page with one, membership is a weight: the articles' lines count ``LEAN`` times against the largest part outside,
 between a surge and a dive or an article's border. If that part still outweighs them all, they are teasers and the
 page is taken as one without; otherwise they stay, and so does each part outside that surges and is at least as long
-as the longest article. Where there is neither element, a div or section named like one stands for it.
+as the longest article. Where there is neither element, a div or section named like one stands for it, unless a part
+outside is longer than all of these. A form is boilerplate unless an article lies in it or it holds most of the text.
 
 Defined results: a null or empty page, and one without text, gives ""; tags that are never closed are
 ignored as containers (script and style run to the end); rows that repeat are extracted one by one; an
@@ -59,8 +60,8 @@ HEADER = frozenset(("header", "masthead", "banner"))
 
 def _is_boilerplate(name: str, attrs: str, in_article: bool, wraps: bool, hints: bool) -> bool:
     """wraps: an article or main element lies in it."""
-    if name in DROPPED:
-        return name not in ("form", "head") or not wraps
+    if name in DROPPED and name != "form":
+        return name != "head" or not wraps
     if name == "header":
         return not in_article
     if not hints or not attrs or wraps or name in ("body", "html", "main"):
@@ -71,6 +72,8 @@ def _is_boilerplate(name: str, attrs: str, in_article: bool, wraps: bool, hints:
             return True
         if key in ("class", "id", "role"):
             words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            if name == "form":
+                words.discard("form")
             if words & STRONG or words & HINTS and not words & MAIN or words & HEADER and not in_article:
                 return True
     return False
@@ -87,8 +90,9 @@ def _clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-def lines(page: str, hints: bool = True) -> list[tuple[str, int, int]]:
-    """Of each line its text, its length outside links, and a number of the outermost article it lies in or 0; "" for boilerplate."""
+def lines(page: str, hints: bool = True, named: bool = True) -> list[tuple[str, int, int]]:
+    """Of each line its text, its length outside links, and a number of the outermost article it lies in or 0, below 0 for
+    an element named like one, which counts if ``named``; "" for boilerplate."""
     marks = [m for m in MARKUP.finditer(page)]
     # the close tag of each open one, by name
     closes: dict[int, int] = {}
@@ -106,18 +110,24 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, int]]:
     mains = [0]  # article and main elements that begin before each mark
     for k, m in enumerate(marks):
         mains.append(mains[-1] + (names[k] in ARTICLE and not m["end"] and k in closes and not _is_boilerplate(names[k], m["attrs"], True, False, hints)))
-    held = mains[-1] == 0 and hints
+    held = mains[-1] == 0 and hints and named
     out: list[tuple[str, int, int]] = []
+    form_of: list[int] = []  # the form that each line lies in, or 0
     parts: list[str] = []
     linked: list[str] = []
     link = 0  # nesting of links
     article_ends: list[int] = []
+    form_end = 0
+
+    def add(text: str, n: int) -> None:
+        out.append((text, n, (-article_ends[0] if held else article_ends[0]) if article_ends else 0))
+        form_of.append(form_end)
 
     def flush() -> None:
         if parts:
             text = _clean(parts)
             if text:
-                out.append((text, max(0, len(text) - len(_clean(linked))), article_ends[0] if article_ends else 0))
+                add(text, max(0, len(text) - len(_clean(linked))))
             parts.clear()
             linked.clear()
 
@@ -140,16 +150,23 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, int]]:
             if article_ends and article_ends[-1] == k:
                 flush()
                 article_ends.pop()
+            if form_end == k:
+                flush()
+                form_end = 0
         elif k in closes and _is_boilerplate(name, m["attrs"], bool(article_ends), mains[closes[k]] > mains[k + 1], hints):
             flush()
-            out.append(("", 0, article_ends[0] if article_ends else 0))
+            add("", 0)
             at = marks[closes[k]].end()
             k = closes[k] + 1
             while article_ends and article_ends[-1] < k:  # crossed tags
                 article_ends.pop()
+            form_end = form_end if form_end >= k else 0
             continue
         elif name == "a":
             link += k in closes
+        elif name == "form" and k in closes and not form_end and mains[closes[k]] == mains[k + 1]:
+            flush()
+            form_end = closes[k]
         elif k in closes and (name in ARTICLE or held and name in ("div", "section", "td") and m["attrs"] and _holds(m["attrs"])):
             flush()
             article_ends.append(closes[k])
@@ -163,7 +180,11 @@ def lines(page: str, hints: bool = True) -> list[tuple[str, int, int]]:
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return out
+    size: dict[int, int] = {}
+    for (text, _, _), form in zip(out, form_of, strict=True):
+        size[form] = size.get(form, 0) + len(text)
+    total = sum(size.values())
+    return [("", 0, x[2]) if form and 2 * size[form] <= total else x for x, form in zip(out, form_of, strict=True)]
 
 
 def _surged(weights: list[int]) -> list[tuple[int, int]]:
@@ -205,6 +226,11 @@ def main_text(page: str | None) -> str:
     found = lines(page)
     if not any(t for t, _, _ in found):  # a wrapper was named like boilerplate
         found = lines(page, hints=False)
+    elif any(article < 0 for _, _, article in found):
+        held = sum(len(t) for t, _, article in found if article)
+        outer = [0 if article or 2 * n <= len(text) else n for text, n, article in found]
+        if any(sum(outer[i:j]) > held for i, j in _parts(outer, [x[2] for x in found])):
+            found = lines(page, named=False)
     outer = [0 if article or 2 * n <= len(text) else n for text, n, article in found]
     length: dict[int, int] = {}
     for text, _, article in found:

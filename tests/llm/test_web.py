@@ -54,6 +54,21 @@ def test_windows_choose_between_articles_and_the_rest(page, text):
     assert got == text if text else "Paragraph 0 " in got and "Paragraph 11 " in got and "Teaser" not in got
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="post-title"><h1>Title</h1></div><div class="text">{BODY}</div>', f"Title {BODY_TEXT}"),
+        ('<div class="post-title"><h1>Title</h1></div><div class="text"><p>A short body.</p></div>', "Title A short body."),
+        (f'<div class="post">{BODY}</div><div class="text"><p>Some words beside it.</p></div>', BODY_TEXT),
+        (f'<body><form id="aspnetForm" action="x"><nav>Menu</nav><div>{BODY}</div></form></body>', BODY_TEXT),
+        (f"<body><main><form>{BODY}</form></main></body>", BODY_TEXT),
+        (f"<body><div>{BODY}</div><form><p>Sign up here for our letter, which comes each week and can be cancelled at any time.</p></form></body>", BODY_TEXT),
+    ],
+)
+def test_a_name_or_form_does_not_outweigh_most_of_the_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_broken_pages_take_linear_time():
     for page in ("<" * 200_000, "<a " * 60_000, '<div class="' * 40_000, "<p>" * 60_000, "<div>" * 60_000 + "x", "&amp;" * 100_000):
         start = time.process_time()
