@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import support
-from helpers import hostile, own_values
+from hostile_rows import hostile, own_values
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, linededup, mixing, neardup, quality
@@ -50,6 +50,25 @@ def test_line_dedup_against_brute_force(spark):
     assert len(gone) > 30
 
 
+def test_line_dedup_of_short_and_long_lines(spark):
+    """``min_chars`` off: lines of few characters, of several bytes each; and lines of thousands, changed at every part."""
+    rng = random.Random(4)
+    long = [prose(rng, 700), "é" * 1500 + prose(rng, 200) + "日本語" * 400]
+    short = ["a", "b", "é", "日", "𝄞", "ab", "aé", "日é", "x y", "x\ty", "\t", "  ", ""]
+    changed = [s[:i] + c + s[i + d :] for s in long for i in (0, 1, 255, 256, 257, len(s) // 4, len(s) // 2, 3 * len(s) // 4, len(s) - 1, len(s)) for c, d in (("𝄞", 0), ("", 1), ("z", 1), ("ß", 1))]
+    texts = [rng.choice(long)] + ["\n".join(rng.sample(short, 3)) for _ in range(12)] + rng.sample(changed, len(changed))
+    got = {r["id"]: set(r["gone"]) for r in linededup.dropped_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_chars=0).collect()}
+    first, want = {}, {}
+    spots = [(i, no, line) for i, t in enumerate(texts) for no, line in enumerate(t.split("\n")) if line.strip(" ")]
+    for i, no, line in spots:
+        first.setdefault(line, (i, no))
+    near = {b for b in first if any(abs(len(a) - len(b)) <= 1 and first[a] < first[b] and edit_within_one(a, b) for a in first)}
+    for i, no, line in spots:
+        if line in near or first[line] != (i, no):
+            want.setdefault(i, set()).add(no)
+    assert got == want and len(near) > 30
+
+
 def test_line_dedup_edges(spark):
     line = "a line that is long enough to count"
     rows = [(None, line, "s"), (5, line, "s"), (5, line, "s"), (5, "own " + prose(random.Random(3), 5), "s"), (7, f"{line}\nrest of the document here", "s"), (8, line, "s")]
@@ -262,6 +281,18 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(odd, untrained).collect()} == {0.5}
 
 
+def test_the_sample_bounds_texts_and_features(spark, monkeypatch):
+    rng, seen = random.Random(8), []
+    docs = spark.createDataFrame([(1, prose(rng, 40)) for _ in range(300)] + [(2, prose(rng, 4000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", lambda rows, **kw: seen.append(rows))
+    quality.fit(docs, labels, sample=7, most=50)
+    quality.fit(docs.unionByName(docs), labels, sample=1000, most=50)
+    assert [len(rows) for rows in seen] == [len(seen[0]), len(seen[1])] and len(seen[0]) <= 7 and len(seen[1]) <= 301
+    for _, ids, share in seen[0] + seen[1]:
+        assert len(ids) == len(set(ids.tolist())) <= 50 and share.sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_scores_do_not_depend_on_the_memo(monkeypatch):
     rng, weights = random.Random(5), np.random.default_rng(5).normal(size=quality.BUCKETS)
     texts = [prose(rng, 80).encode() + b" " + b"y" * 200 for _ in range(20)]
