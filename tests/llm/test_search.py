@@ -35,10 +35,11 @@ def test_top_k_of_nothing(spark):
 
 def test_url_filter(spark):
     day = lambda s: datetime.date.fromisoformat(s)
-    entries = [("domain", "bad.org", "2024-01-10", "add"), ("domain", "bad.org", "2024-02-01", "remove"), ("host", "WWW.x.com", "2024-01-01", "add"), ("url", "http://ok.net/p#f", "2024-01-05", "add"), ("domain", "x.com", "2024-01-01", "add"), ("domain", "x.com", "2024-01-01", "add"), ("domain", None, "2024-01-01", "add"), ("domain", "same.day", "2024-01-01", "add"), ("domain", "same.day", "2024-01-01", "remove")]
+    entries = [("domain", "bad.org", "2024-01-10", "add"), ("domain", "bad.org", "2024-02-01", "remove"), ("host", "WWW.x.com", "2024-01-01", "add"), ("url", "http://ok.net/p#f", "2024-01-05", "add"), ("domain", "x.com", "2024-01-01", "add"), ("domain", "x.com", "2024-01-01", "add"), ("domain", None, "2024-01-01", "add"), ("domain", "same.day", "2024-01-01", "add"), ("domain", "same.day", "2024-01-01", "remove"), ("host", "[2001:db8::1]", "2024-01-01", "add")]
     captures = [
         ("http://a.b.bad.org/1", "2024-01-09", None), ("http://a.b.bad.org/1", "2024-01-10", "domain"), ("http://bad.org:80/", "2024-01-31", "domain"), ("http://bad.org/", "2024-02-01", None), ("http://notbad.org/", "2024-01-15", None),
         ("https://u@www.X.com./q", "2024-03-01", "host"), ("https://x.com", "2024-03-01", "domain"), ("http://ok.net/p", "2024-01-05", "url"), ("http://ok.net/p2", "2024-01-05", None), (None, "2024-01-05", None), ("no url", "2024-01-05", None), ("http://x.com", None, None), ("http://same.day/", "2024-06-01", None),
+        ("HTTP://OK.net/p", "2024-01-05", "url"), ("http://ok.net/P", "2024-01-05", None), ("http://[2001:DB8::1]:80/", "2024-01-05", "host"), ("http://a.b.bad.org/1", "2024-01-10", "domain"), ("", "2024-01-05", None), ("http://" + "a." * 3000 + "bad.org/" + "x" * 50_000, "2024-01-11", "domain"),
     ]
     df = spark.createDataFrame([(i, u, d and day(d), f"h{i}") for i, (u, d, _) in enumerate(captures)], "i int, url string, fetched date, _host string")
     lists = spark.createDataFrame([(k, p, day(d), a) for k, p, d, a in entries], "kind string, pattern string, listed date, action string")

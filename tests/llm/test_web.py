@@ -69,6 +69,31 @@ def test_a_name_or_form_does_not_outweigh_most_of_the_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "tag",
+    ['section id="related-work"', 'section class="discussion"', 'div class="social-history"', 'p data-x="' + "x" * 9000 + ' > leak < y"', "p title='" + "y" * 20_000 + " <b> leak'"],
+)
+def test_text_of_an_article_stays(tag):
+    got = html_text.main_text(f"<body><article><p>Before it.</p><{tag}>A part of the text.</{tag.split()[0]}><p>After it.</p></article></body>")
+    assert got == "Before it. A part of the text. After it."
+
+
+@pytest.mark.parametrize("tag", ['div class="ad"', 'div class="related-posts widget"', 'div id="comments-2"', 'div class="newsletterSignup"', 'div class="x share-buttons"'])
+def test_named_boilerplate_in_an_article_goes(tag):
+    got = html_text.main_text(f"<body><article><p>Before it.</p><{tag}>Not of the text.</{tag.split()[0]}><p>After it.</p></article></body>")
+    assert got == "Before it. After it."
+
+
+def test_results_take_the_place_of_columns_whatever_their_case(spark):
+    from tessera.llm import decontaminate, tokens
+
+    df = spark.createDataFrame([(1, "<p>ab</p>", "x")], "page_id long, html string, Text string")
+    assert html_text.extract(df).first()["text"] == "ab"
+    docs = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, N_hit int, N_Tokens int")
+    assert tokens.count_tokens(docs).select("n_tokens").first()[0] > 0
+    assert decontaminate.find_contamination(docs, spark.createDataFrame([(1, "b")], "item_id long, text string")).select("n_hit").first()[0] == 1
+
+
 def test_broken_pages_take_linear_time():
     for page in ("<" * 200_000, "<a " * 60_000, '<div class="' * 40_000, "<p>" * 60_000, "<div>" * 60_000 + "x", "&amp;" * 100_000):
         start = time.process_time()
