@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, without
 
 WINDOW, SURGE = 3, 80
 #: What a character in an article weighs against one outside.
@@ -35,7 +35,7 @@ RESULTS = ("text", "n_chars")
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|button|object|noframes)\b[^>]*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+|[^<>]*)>",
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+|[^<>]*)>",
     re.I | re.S,
 )
 #: Their text belongs to the line around them.
@@ -47,12 +47,14 @@ WORDS = re.compile(r"[a-z]+|[0-9]+")
 #: Words in a class, id or role that mark boilerplate.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense advertorial sponsor sponsored sponsors promo promos promoted promotion banner banners cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar sidebars aside rail widget widgets related recommended recommendations recommend teaser teasers trending popular comment comments commentlist disqus respond reply replies discussion reviews feedback share sharing social "
+    "sidebar sidebars aside rail widget widgets related recommended recommendations recommend teaser teasers trending popular comment comments commentlist disqus respond reply replies share sharing social "
     "nav navbar navigation navigations menu menus breadcrumb breadcrumbs pagination pager toc footer foot copyright masthead topbar toolbar skip search searchbox contentinfo complementary form disclaimer paywall outbrain taboola".split()
 )
 #: Of these, the ones that hold even beside a name of the main text, as in "article-comments".
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsored promo comment comments related share sharing sidebar nav navigation menu footer cookie cookies newsletter disqus respond reply".split())
 MAIN = frozenset("article content main story".split())
+#: Words that say nothing: with one of any other kind beside it ("related-work", "social-history"), a word above marks nothing.
+PLAIN = frozenset("a area b bar block blocks body bottom box button buttons by c card center col column container element entry fixed fluid form frame header holder icon icons image in inline inner item items js label layer left lg line link links list mini mobile module more new news o of on outer page panel part placeholder pop position post posts right row section site slot sm space spot sticky strip tab text the title to top ul unit up us user users view web wide wrap wrapper zone".split())
 #: Names of the element that holds the main text where there is no article or main element.
 HOLDERS = MAIN | frozenset("post entry articlebody".split())
 HEADER = frozenset(("header", "masthead", "banner"))
@@ -71,11 +73,14 @@ def _is_boilerplate(name: str, attrs: str, in_article: bool, wraps: bool, hints:
         if key == "hidden" or key == "itemprop" and value.lower() == "comment":
             return True
         if key in ("class", "id", "role"):
-            words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-            if name == "form":
-                words.discard("form")
-            if words & STRONG or words & HINTS and not words & MAIN or words & HEADER and not in_article:
-                return True
+            for token in value.split():
+                words = {w for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if not w.isdigit()}
+                if name == "form":
+                    words.discard("form")
+                if in_article and words - HINTS - PLAIN - MAIN:
+                    continue
+                if words & STRONG or words & HINTS and not words & MAIN or words & HEADER and not in_article:
+                    return True
     return False
 
 
@@ -249,7 +254,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``pages`` without the html column, with text and n_chars (code points)."""
     small_batches(pages.sparkSession)
-    keep = [c for c in pages.columns if c not in RESULTS and c != html_col]
+    pages = without(pages, *(r for r in RESULTS if r.lower() != html_col.lower()))
+    keep = [c for c in pages.columns if c.lower() not in (*RESULTS, html_col.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
