@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import Scratch, own_names
+from tessera.llm.common import Scratch, own_names, without
 
 WEIGHTS = (3, 1, 2)
 RESULTS = ("size", "source_size", "target", "taken")
@@ -162,7 +162,7 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **k
     number = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.lit(0)))  # noqa: E731  of equal rows
     mixed = mix(docs, id_col=id_col, text_col=text_col, **kw).withColumn("_mk", number("doc_id", "row"))
     mixed = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("_mid"), F.col("row").alias("_mrow"), "_mk", *RESULTS, F.expr("taken div size").alias("copies"))
-    own, back, names = own_names(docs.drop(*RESULTS, "copies"))
+    own, back, names = own_names(without(docs, *RESULTS, "copies"))
     own = own.withColumn("_row", F.xxhash64(names[text_col]))
     own = own.withColumn("_k", number(names[id_col], "_row"))
     return own.join(mixed, F.col(names[id_col]).eqNullSafe(F.col("_mid")) & (F.col("_row") == F.col("_mrow")) & (F.col("_k") == F.col("_mk"))).select(*back, *RESULTS, "copies")

@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, without
 
 MARK = "▁"
 #: White space as Unicode has it, for str.split's set also has 0x1C-0x1F.
@@ -122,8 +122,9 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", vocab: list[tuple[s
     caller's own columns."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent, key = spark.sparkContext.broadcast(vocab or vocabulary(tokenizer)), uuid.uuid4().hex
-    keep = [c for c in docs.columns if c not in RESULTS and c != text_col]
+    sent, key = spark.sparkContext.broadcast(vocabulary(tokenizer) if vocab is None else vocab), uuid.uuid4().hex
+    docs = without(docs, *(r for r in RESULTS if r != text_col.lower()))
+    keep = [c for c in docs.columns if c.lower() != text_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(key, sent)
