@@ -3,12 +3,13 @@
 Words (runs without white space) and their character n-grams, with word boundaries marked, are hashed to
 ``BUCKETS`` learned vectors; a document is the average of its vectors; a softmax layer gives the label.
 Training is stochastic gradient descent in numpy, one document at a time, on a bounded sample of labelled
-documents (``sample`` rows with the smallest seeded hash of their id; 6,000 unless stated), from which the
-executors send only hashed features. As the average and the layer are linear, a trained model scores a
+documents (``sample`` rows of text and label, with the smallest seeded hash of their id; 6,000 unless stated), from
+which the executors send only hashed features: of a document with more than ``most`` distinct ones (8,192 unless
+stated) those with the smallest seeded hash, wherever they are in the text. Both bounds hold for training alone. As the average and the layer are linear, a trained model scores a
 word by one number, which a worker remembers for up to ``MEMO`` words.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; a document of
-which there are several labels is trained on with each; null labels and ids are not trained on; without
+which there are several labels is trained on with each, and texts that share an id with each, repeats once; null labels and ids are not trained on; without
 any label every score is 0.5. Rows that repeat are scored one by one; an empty table gives none.
 """
 
@@ -29,7 +30,7 @@ from tessera.llm.common import own_names, small_batches
 
 BUCKETS, DIM = 1 << 17, 16
 GRAMS = (2, 3, 4)
-SAMPLE, EPOCHS, RATE, SEED = 6_000, 8, 0.4, 11
+SAMPLE, MOST, EPOCHS, RATE, SEED = 6_000, 8_192, 8, 0.4, 11
 MEMO = 300_000
 #: Of a longer word the n-grams are taken like those of any other, but nothing is remembered.
 MEMO_LENGTH = 64
@@ -38,29 +39,33 @@ CHUNK = 4096
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of their n-grams of bytes between boundary marks, and the index of each one's word."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    raw = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]) + bytes(max(GRAMS)), np.uint8).astype(np.uint32)
+    """Buckets of words and of their n-grams of characters between boundary marks, and the index of each one's word."""
+    text = [w.decode("utf-8", "surrogatepass") for w in words]
+    size = np.fromiter(map(len, text), np.int64, len(words)) + 2
+    raw = np.frombuffer(("".join([f"\x01{w}\x02" for w in text]) + "\0" * max(GRAMS)).encode("utf-32-le", "surrogatepass"), np.uint32)
     n, owner = len(raw) - max(GRAMS), np.repeat(np.arange(len(words)), size)
-    room = np.repeat(np.cumsum(size), size) - np.arange(n)  # bytes up to the word's end
+    room = np.repeat(np.cumsum(size), size) - np.arange(n)  # characters up to the word's end
     found, owners = [np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))], [np.arange(len(words))]
     for g in GRAMS:
         fits = room >= g
-        code = sum(raw[k : k + n] << np.uint32(8 * k) for k in range(g))[fits]
+        code = sum(raw[k : k + n] * np.uint32(0x01000193**k & 0xFFFFFFFF) for k in range(g))[fits]
         code = (code ^ np.uint32(g * 0x3C6EF372)) * np.uint32(0x9E3779B1)
         found.append((code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA77))
         owners.append(owner[fits])
     return np.concatenate(found) >> np.uint32(32 - BUCKETS.bit_length() + 1), np.concatenate(owners)
 
 
-def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets and their shares."""
+def document_features(text: str | None, most: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets, ``most`` of them, and their shares."""
     counted = Counter((text or "").encode("utf-8", "surrogatepass").split())
     if not counted:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     buckets, owners = features(list(counted))
     n = np.bincount(buckets, np.fromiter(counted.values(), np.float64, len(counted))[owners], BUCKETS)
     ids = np.flatnonzero(n)
+    if len(ids) > most:
+        ids = np.sort(ids[np.argsort((ids.astype(np.uint32) ^ np.uint32(SEED)) * np.uint32(0x9E3779B1), kind="stable")[:most]])
+        n = np.bincount(ids, n[ids], BUCKETS)
     return ids.astype(np.int32), (n[ids] / n.sum()).astype(np.float32)
 
 
@@ -105,16 +110,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, **kw) -> Model:
-    """Learn from at most ``sample`` labelled rows that are not held out; whole texts."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most: int = MOST, **kw) -> Model:
+    """Learn from at most ``sample`` labelled texts that are not held out."""
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = chosen.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id", "_label").limit(sample)
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # `sample` rows at most
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_row", F.xxhash64("_text"))
+    met = texts.select("_id", "_row").join(F.broadcast(chosen), "_id").distinct()  # `sample` rows at most are broadcast; an id can have many texts
+    met = met.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id", "_row", "_label").limit(sample)
+    found = texts.join(F.broadcast(met), ["_id", "_row"]).dropDuplicates(["_id", "_row", "_label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [document_features(t) for t in batch.column("_text").to_pylist()]
+            got = [document_features(t, most) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=["_id", "_label", "ids", "share"])
 
     schema = found.select("_id", "_label").schema.add("ids", "binary").add("share", "binary")
@@ -163,7 +171,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     spark = docs.sparkSession
     small_batches(spark)
     sent, key = spark.sparkContext.broadcast((model.weights, model.bias)), uuid.uuid4().hex  # BUCKETS numbers
-    keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != score_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key, sent)
