@@ -1,6 +1,8 @@
 """A thin socket front end over one engine or replica: threads hand commands to Spark's own scheduler.
 
-python -m tessera.server --port 7000 --data DIR [--threads N] [--primary-data DIR] [--idle SECONDS]
+python -m tessera.server --port 7000 --data DIR [--threads N] [--idle SECONDS]
+    [--primary-data DIR [--primary HOST:PORT]]     a replica of the primary with that folder; writes go to its server
+    [--cluster FILE --shard N]                     the N-th (from 0) line of the file, which has each server's key range
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
+from tessera.cluster import Remote, Router
 from tessera.engine import Engine
+from tessera.operators.shards import parse_config
 from tessera.plans.lexer import CommandError
 from tessera.sources import wire
 from tessera.streaming.replica import Replica
@@ -83,17 +87,24 @@ def main() -> None:
     p.add_argument("--data", default="data")
     p.add_argument("--threads", type=int, default=64)
     p.add_argument("--primary-data", help="a primary's folder: serve as its replica")
+    p.add_argument("--primary", help="HOST:PORT of the primary's server, for writes")
+    p.add_argument("--cluster", help="a file with a line for each server: host, port, lowest key and key after the last in hex, - for none")
+    p.add_argument("--shard", type=int, help="the line that is this server, from 0 in order of keys")
     p.add_argument("--idle", type=float, default=0, help="compact after so many idle seconds")
     p.add_argument("--chains", action="store_true", help="show heavy paths passed with QUERY")
     a = p.parse_args()
     spark = SparkSession.builder.appName("tessera").config("spark.scheduler.mode", "FAIR").getOrCreate()
     if a.primary_data:
-        target = Replica(spark, a.data, a.primary_data)
+        host, _, port = (a.primary or "").rpartition(":")
+        target = Replica(spark, a.data, a.primary_data, Remote(host, int(port)) if a.primary else None)
         target.start()
     else:
         target = Engine(spark, a.data, show_chains=a.chains)
         if a.idle:
             compact_when_idle(target, a.idle)
+        if a.cluster:
+            with open(a.cluster) as f:
+                target = Router(target, parse_config(f.read()), a.shard)
     with Server(("0.0.0.0", a.port), target, a.threads) as server:
         server.serve_forever()
 

@@ -132,3 +132,34 @@ def test_idle_compaction(spark, tmp_path):
     stop.set()
     thread.join(10)
     assert e.catalog.tables["t"].manifest.base and not e.catalog.tables["t"].manifest.deltas and e.exec("COUNT(t)") == "2 records"
+
+
+def test_two_servers_answer_as_one(spark, tmp_path):
+    """Keys before "m" belong to the first; every command can be sent to either."""
+    from tessera.cluster import Router
+    from tessera.operators.shards import Shard
+
+    engines = [Engine(spark, f"file://{tmp_path}/s{i}") for i in range(2)]
+    servers = [server.Server(("127.0.0.1", 0), e, threads=4) for e in engines]
+    split = b"m"
+    shards = [Shard("127.0.0.1", servers[0].server_address[1], None, split), Shard("127.0.0.1", servers[1].server_address[1], split, None)]
+    for i, s in enumerate(servers):
+        s.target = Router(engines[i], shards, i)
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+    a, b = (Client("127.0.0.1", s.server_address[1]) for s in servers)
+    try:
+        assert a.exec("TABLE t(k string PRIMARY KEY, v number)") == "OK"
+        assert b.exec("BULK t ('alpha', 1) ('zeta', 2) ('mid', 3) ('beta', 4)") == "4 inserted"
+        assert a.exec("NEW(t, 'omega', 5)") == "OK" and b.exec("NEW(t, 'omega', 6)") == "DUPLICATE KEY"
+        assert b.exec("UPDATE(t, 'beta', 7)") == "OK" and a.exec("QUERY(t, 'beta')") == "beta | 7"
+        assert a.exec("RANGE(t, 'a', 'zz')") == b.exec("RANGE(t, 'a', 'zz')") == "\n".join(["alpha | 1", "beta | 7", "mid | 3", "omega | 5", "zeta | 2", "(5 rows)"])
+        assert a.exec("IN(t, 'zeta', 'none', 'alpha', 'zeta')") == "zeta | 2\nalpha | 1\nzeta | 2\n(3 rows)"
+        assert a.exec("COUNT(t)") == b.exec("COUNT(t)") == "5 records" and b.exec("DELETE(t, 'alpha')") == "OK"
+        assert [e.exec("COUNT(t)") for e in engines] == ["1 records", "3 records"]
+        assert a.exec("RANGE(t, 'x', 'b')") == "NOT FOUND" and a.exec("NEW(t, '" + "w" * 65 + "', 1)").startswith("ERROR: value too long")
+    finally:
+        a.close()
+        b.close()
+        for s in servers:
+            s.shutdown()
+            s.server_close()
