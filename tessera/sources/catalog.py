@@ -9,7 +9,7 @@ folds deltas into a new base. So a change costs what it changes, whatever the ta
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ from tessera.plans.parser import ColumnDef, TableSchema
 from tessera.sources.store import Store
 
 KEY, DELETED = read.KEY, "__deleted"
+#: As many deltas are folded into a new base by the mutation that adds the last of them, so a read merges fewer.
+MOST_DELTAS = 64
 
 
 def struct_of(schema: TableSchema) -> T.StructType:
@@ -41,6 +43,7 @@ class Manifest:
     base: str | None = None
     deltas: tuple[str, ...] = ()
     applied_lsn: int = 0
+    rows: int | None = 0  # of the table; null in a manifest that was written without it
 
     def text(self) -> str:
         return json.dumps(asdict(self))
@@ -50,7 +53,7 @@ class Manifest:
         d = json.loads(text)
         s = d.pop("schema")
         cols = tuple(ColumnDef(**c) for c in s.pop("columns"))
-        return cls(schema=TableSchema(columns=cols, **s), deltas=tuple(d.pop("deltas")), **d)
+        return cls(schema=TableSchema(columns=cols, **s), deltas=tuple(d.pop("deltas")), **({"rows": None} | d))
 
 
 @dataclass
@@ -60,7 +63,6 @@ class Table:
     store: Store
     name: str
     manifest: Manifest
-    cached: DataFrame | None = field(default=None, repr=False)
 
     @property
     def schema(self) -> TableSchema:
@@ -102,25 +104,35 @@ class Table:
         self.store.write(f"{self.name}/manifest-{m.version:010d}.json", m.text())
         self.manifest = m
 
-    def add_delta(self, changes: DataFrame, lsn: int = 0) -> None:
-        """Write changes (table columns and ``__deleted``) as the next version."""
+    def add_delta(self, changes: DataFrame, lsn: int = 0, added: int | None = None) -> None:
+        """Write changes (table columns and ``__deleted``) as the next version; ``added``: rows more, if that is known."""
         version = self.manifest.version + 1
         key = key_column(F.col(self.pk), self.struct[self.pk].dataType, self.schema.key_order)
         name = f"delta-{version:010d}"
         out = changes.select(*[c.name for c in self.schema.columns], key.alias(KEY), DELETED, F.lit(version).cast("long").alias("__version"))
         out.sortWithinPartitions(KEY).write.mode("overwrite").parquet(self.store.path(f"{self.name}/{name}"))
-        self._commit(replace(self.manifest, version=version, deltas=(*self.manifest.deltas, name), applied_lsn=max(lsn, self.manifest.applied_lsn)))
+        rows = None if added is None or self.manifest.rows is None else self.manifest.rows + added
+        self._commit(replace(self.manifest, version=version, deltas=(*self.manifest.deltas, name), applied_lsn=max(lsn, self.manifest.applied_lsn), rows=rows))
+        if len(self.manifest.deltas) >= MOST_DELTAS:
+            self.compact()
 
     def compact(self, file_rows: int = layout.FILE_ROWS) -> None:
         """Fold everything into one base sorted by key over range partitions; the rows stay what they are."""
         version = self.manifest.version + 1
         name, df = f"base-{version:010d}", self.frame()
-        layout.sorted_by_key(df, KEY, df.count(), file_rows).write.mode("overwrite").option("compression", "zstd").parquet(self.store.path(f"{self.name}/{name}"))
-        self._commit(replace(self.manifest, version=version, base=name, deltas=()))
-
-    def vacuum(self) -> list[str]:
-        """Delete snapshots that the newest manifest does not name, and older manifests."""
-        keep = {self.manifest.base, *self.manifest.deltas, f"manifest-{self.manifest.version:010d}.json"}
+        rows = df.count()
+        out = layout.sorted_by_key(df, KEY, rows, file_rows).write.mode("overwrite").option("compression", "zstd")
+        # point reads of keys that a row group lacks skip it
+        out = out.option(f"parquet.bloom.filter.enabled#{self.pk}", "true").option(f"parquet.bloom.filter.expected.ndv#{self.pk}", str(max(1, min(rows, file_rows))))
+        out.parquet(self.store.path(f"{self.name}/{name}"))
+        self._commit(replace(self.manifest, version=version, base=name, deltas=(), rows=rows))
+
+    def vacuum(self, keep: int = 0) -> list[str]:
+        """Delete snapshots that neither the newest manifest names nor the ``keep`` before it, for readers that began
+        with those, and older manifests."""
+        olds = sorted(n for n in self.store.names(self.name) if n.startswith("manifest-"))[:-1]
+        before = {n: Manifest.of(self.store.read(f"{self.name}/{n}")) for n in (olds[-keep:] if keep else [])}
+        keep = {f"manifest-{self.manifest.version:010d}.json", *before, *(x for m in (self.manifest, *before.values()) for x in (m.base, *m.deltas))}
         gone = [n for n in self.store.names(self.name) if n not in keep]
         for n in gone:
             self.store.delete(f"{self.name}/{n}")
@@ -131,19 +143,23 @@ class Table:
         spark_pos = pos or "__pos"
         rows = df if pos else df.withColumn(spark_pos, F.monotonically_increasing_id())
         typed = rows.select(*[F.col(c.name).cast(f.dataType).alias(c.name) for c, f in zip(self.schema.columns, self.struct, strict=True)], spark_pos)
-        long = [c for c in self.schema.columns if c.kind == "string"]
         new = write.bulk_new(self.rows(), typed, self.pk, spark_pos).persist()
         try:
-            checks = new.agg(F.count("*").alias("n"), *[F.coalesce(F.max(F.octet_length(c.name)), F.lit(0)).alias(c.name) for c in long]).first()
-            for c in long:
-                if checks[c.name] > c.max_bytes:
-                    raise CommandError(f"value too long for column '{c.name}'")
-            if checks["n"]:
-                self.add_delta(new.withColumn(DELETED, F.lit(False)))
-            return checks["n"]
+            return self.insert(new)
         finally:
             new.unpersist()
 
+    def insert(self, new: DataFrame, lsn: int = 0) -> int:
+        """Add rows whose keys are new, if no value is too long; how many. One aggregate tells both."""
+        strings = [c for c in self.schema.columns if c.kind == "string"]
+        checks = new.agg(F.count("*").alias("__n"), *[F.coalesce(F.max(F.octet_length(c.name)), F.lit(0)).alias(c.name) for c in strings]).first()
+        for c in strings:
+            if checks[c.name] > c.max_bytes:
+                raise CommandError(f"value too long for column '{c.name}'")
+        if checks["__n"]:
+            self.add_delta(new.withColumn(DELETED, F.lit(False)), lsn, checks["__n"])
+        return checks["__n"]
+
 
 class Catalog:
     """Managed tables below a folder, and Parquet tables attached to read."""
