@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, own_names, small_batches
+from tessera.llm.common import Scratch, maybe_in, own_names, small_batches
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -248,8 +248,8 @@ def _block(words: int, percent: int, least: list[int]):
 def label(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(cid, comp) of every node of links (a, b): comp is the smallest node reachable.
 
-    Alternating large and small stars; each round writes its edges. A hub's edges are only grouped with
-    partial minima and joined, so they need not meet in one task.
+    Alternating large and small stars; each round writes its edges. A hub's edges are grouped with partial
+    minima; where they are joined to their minimum, a hub is a skewed key on one side only, which Spark splits.
     """
     def star(edges: DataFrame, large: bool, name: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -267,7 +267,7 @@ def label(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
         small = star(large, False, "small")
         scratch.drop(edges, large)
         edges = small
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if now == was:
             break
         was = now
@@ -287,27 +287,34 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
     found = scratch.write(source.withColumn("row", F.xxhash64("text")).mapInArrow(_features(words), f"doc_id {kind}, row long, n_shingles long, cid binary, bands array<long>"), "features")
     classes = scratch.write(found.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cid", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = scratch.write(banded.join(buckets, ["band", "h"]), "members")
-    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select(F.col("rep").alias("_rep"))
-    text = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    buckets = scratch.write(banded.groupBy("band", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
+    shared = maybe_in(banded.withColumn("_key", F.xxhash64("band", "h")), F.col("_key"), buckets, F.xxhash64("band", "h"))
+    members = scratch.write(shared.drop("_key").join(buckets, ["band", "h"]), "members")
+    wanted = scratch.write(classes.select("cid", "rep").join(members.select("cid").distinct(), "cid").select(F.col("rep").alias("_rep")).distinct(), "wanted")
+    text = maybe_in(source, F.col("doc_id"), wanted, F.col("_rep")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text")
     text = scratch.write(text.mapInArrow(_candidates(words), "cid binary, text string, sig binary").dropDuplicates(["cid"]), "candidates")
     a = text.select(F.col("cid").alias("a"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"))
     b = text.select(F.col("cid").alias("b"), F.col("text").alias("text_b"), F.col("sig").alias("sig_b"))
 
+    def with_buckets(rows: DataFrame, of: DataFrame) -> DataFrame:
+        """``rows`` with what ``of`` says of their bucket; a bucket is dealt out in shares of about BLOCK rows."""
+        shares = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+        each = of.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("n")
+        return rows.withColumn("_share", F.pmod(F.xxhash64(F.lit(3), "cid"), shares).cast("int")).join(each, ["band", "h", "_share"]).drop("_share")
+
     def star(rows: DataFrame, turn: int) -> DataFrame:
         """Links of each bucket's members with one of them, another one in each band and turn."""
-        pick = rows.groupBy("band", "h").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64(F.lit(turn), "band", "cid")).alias("pivot"))
-        met = rows.join(pick, ["band", "h"]).where(F.col("comp") != F.col("pivot")["comp"])
+        pick = rows.groupBy("band", "h").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64(F.lit(turn), "band", "cid")).alias("pivot"), F.max("n").alias("n"))
+        met = with_buckets(rows, pick).where(F.col("comp") != F.col("pivot")["comp"])
         pairs = met.select(F.least("cid", F.col("pivot")["cid"]).alias("a"), F.greatest("cid", F.col("pivot")["cid"]).alias("b")).distinct()
         return scratch.write(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(words, percent, least), "a binary, b binary"), f"stars{turn}")
 
     def mixed(comp: DataFrame) -> DataFrame:
         """Members of buckets of three or more whose members are in several components; main: the largest there."""
         placed = members.where(F.col("n") > 2).join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        parts = placed.groupBy("band", "h", "comp").agg(F.count("*").alias("c"))
-        several = parts.groupBy("band", "h").agg(F.count("*").alias("parts"), F.max_by("comp", "c").alias("main")).where(F.col("parts") > 1)
-        return scratch.write(placed.join(several.select("band", "h", "main"), ["band", "h"]), "mixed")
+        parts = placed.groupBy("band", "h", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+        several = parts.groupBy("band", "h").agg(F.count("*").alias("parts"), F.max_by("comp", "c").alias("main"), F.max("n").alias("n")).where(F.col("parts") > 1)
+        return scratch.write(with_buckets(placed, several.select("band", "h", "main", "n")), "mixed")
 
     links = star(members.withColumn("comp", F.col("cid")), 0)
     open_ = mixed(scratch.write(label(links, scratch), "components"))
@@ -327,7 +334,7 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.join(first, "comp").select(F.col("cid").alias("_cid"), "component_id", F.col("comp").alias("component"))
-    scratch.drop(members, text, more, open_)
+    scratch.drop(buckets, members, wanted, text, more, open_)
     out = found.select("doc_id", "row", "n_shingles", "cid").join(by_class, F.col("cid") == F.col("_cid"), "left")
     return out.select("doc_id", "row", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
