@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small_batches
+from tessera.llm.common import Scratch, apart, small_batches
 
 DATE = "1970-01-01T00:00:00Z"  # captures have no date of their own
 #: An archive is closed at this size; a read is closed at the other; gaps up to the third are read over.
@@ -92,8 +92,11 @@ def with_revisits(pages: DataFrame, *, id_col: str, url_col: str, payload_col: s
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     keyed = rows.select("page_id", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("n"))
     shared = keyed.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("_c")).where(F.col("_c") > 1)
-    joined = rows.withColumn("sha", F.unhex(F.sha1("payload"))).join(shared.select(F.col("sha").alias("_sha"), F.col("n").alias("_n"), "first"), (F.col("sha") == F.col("_sha")) & (F.octet_length("payload") == F.col("_n")), "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    shared = Scratch(pages.sparkSession, "payloads").write(shared.select(F.col("sha").alias("_sha"), F.col("n").alias("_n"), "first"), "shared")
+    maybe, own = apart(rows.withColumn("sha", F.unhex(F.sha1("payload"))), F.col("sha"), shared, F.col("_sha"))  # a payload that is alone is not shuffled
+    joined = maybe.join(shared, (F.col("sha") == F.col("_sha")) & (F.octet_length("payload") == F.col("_n")), "left")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
+    return joined.select("page_id", "url", "payload", refers).unionByName(own.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write(rows: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
