@@ -74,7 +74,9 @@ QUERIES = {q.__name__: q for q in (op1_hamming_topk, op2_line_dedup, op3_deconta
 
 _WORDS3 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
-_HOST = "nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\\.$', ''), '')"
+_HOST = "nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/:?#\\[]+)', 1), '\\.$', ''), '')"
+_START = "regexp_extract(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*')"
+_URL = f"lower({_START}) || substr(regexp_replace(url, '#.*$', ''), length({_START}) + 1)"
 _CHANGES = "(values (0, 'add'), (45, 'remove'), (120, 'add'), (200, 'add'), (200, 'remove')) c(shift, action)"
 _DIGIT = "(strpos('0123456789abcdef', substr(md5(pattern), {}, 1)) - 1)::int"
 
@@ -94,7 +96,7 @@ k as (select l.*, trim(l.line) = '' or (u.place = (l.doc_id, l.no) and near.line
 select doc_id, count(*)::bigint n_lines, count(*) filter (where not kept)::bigint n_dropped, md5(coalesce(string_agg(line, chr(10) order by no) filter (where kept), '')) kept_md5
 from k group by doc_id""",
     "op8_url_filter": f"""
-with p as (select page_id, url, regexp_replace(url, '#.*$', '') u, {_HOST} h, date '2024-01-01' + (page_id % 365)::int fetched from pages),
+with p as (select page_id, url, {_URL} u, {_HOST} h, date '2024-01-01' + (page_id % 365)::int fetched from pages),
 names as (select distinct 'host' kind, h pattern from p where h is not null union
           select distinct 'domain', array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') from p where h is not null),
 entries as (

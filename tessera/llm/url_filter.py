@@ -8,8 +8,9 @@ domains that are active when it was fetched.
 
 Intervals are first gathered for each distinct host and URL, where they are few: at most one for two
 changes of a pattern on the list. Captures join that on host and on URL and pick the active one, so a
-capture is never multiplied, and a host with a third of all captures is only a skewed side of a join,
-which Spark splits.
+capture is never multiplied. A capture whose host and URL no entry can mean (a bit set of the listed ones tells) takes
+no part in the joins; of a host or URL that is listed, captures are dealt out in ``SHARES`` shares, so that one with a
+third of all captures is not a single task's; the listed ones are never broadcast, as their number has no bound.
 
 Defined results: a null or malformed URL has no host and matches by URL only; a null fetch time matches
 nothing; entries with a null field are ignored; repeated entries count once; repeated captures are judged one
@@ -23,20 +24,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import own_names
+from tessera.llm.common import Scratch, apart, own_names, without
 
 RESULTS = ("blocked", "rule", "pattern", "listed_from")
+SHARES = 16
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and final dot; null if there is none."""
-    h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
+    """Lower-case host without user, port and final dot, an IPv6 address in its brackets; null if there is none."""
+    h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)", 1)
     return F.nullif(F.regexp_replace(h, r"\.$", ""), F.lit(""))
 
 
 def url_key(url: Column) -> Column:
-    """The URL without fragment."""
-    return F.regexp_replace(url, r"#.*$", "")
+    """The URL without fragment, with scheme and host (and user) in lower case."""
+    bare = F.regexp_replace(url, r"#.*$", "")
+    start = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+    return F.concat(F.lower(start), F.substring(bare, F.length(start) + 1, F.length(bare)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def _gathered(keys: DataFrame, held: DataFrame, on: list[str], by: str) -> DataF
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
     """``captures`` with blocked, and of the most special active entry its rule, pattern and first day."""
-    own, back, names = own_names(captures.drop(*RESULTS))
+    own, back, names = own_names(without(captures, *RESULTS))
     held = intervals(entries)
     c = own.withColumns({"_host": host_of(F.col(names[url_col])), "_url": url_key(F.col(names[url_col])), "_day": F.to_date(F.col(names[fetched_col]))})
     hosts = c.select("_host").where(F.col("_host").isNotNull()).distinct()
@@ -67,7 +71,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
     by_host = _gathered(host_keys, held, ["kind", "pattern"], "_host").withColumnsRenamed({"_host": "_h", "_held": "_by_host"})
     url_keys = held.where(F.col("kind") == "url").select(F.col("pattern").alias("_url"), "kind", "pattern", "since", "until", F.lit(-1).alias("_order"))
     by_url = url_keys.select(F.col("_url").alias("_u"), F.struct(F.col("_order").alias("order"), "since", "until", F.col("kind").alias("rule"), "pattern").alias("x")).groupBy("_u").agg(F.array_sort(F.collect_set("x")).alias("_by_url"))
-    j = c.join(by_host, F.col("_host") == F.col("_h"), "left").join(by_url, F.col("_url") == F.col("_u"), "left")
+    scratch = Scratch(captures.sparkSession, "urls")
+    j = c
+    for key, table, on in (("_host", by_host, "_h"), ("_url", by_url, "_u")):
+        table = scratch.write(table, "listed")
+        maybe, clear = apart(j, F.col(key), table, F.col(on))
+        shared = table.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        dealt = maybe.withColumn("_s", F.pmod(F.xxhash64(*names.values()), F.lit(SHARES)))
+        j = dealt.join(shared.hint("merge"), (F.col(key) == F.col(on)) & (F.col("_s") == F.col("_share")), "left").drop("_s", "_share", on).unionByName(clear, allowMissingColumns=True)
     nothing = F.array().cast("array<struct<order:int,since:date,until:date,rule:string,pattern:string>>")
     every = F.concat(F.coalesce("_by_url", nothing), F.coalesce("_by_host", nothing))
     active = F.filter(every, lambda x: (x["since"] <= F.col("_day")) & (x["until"].isNull() | (F.col("_day") < x["until"])))
