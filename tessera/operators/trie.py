@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -39,11 +39,29 @@ def subtree_weights(keys: DataFrame, key: str) -> DataFrame:
 
 
 def chain_crossings(keys: DataFrame, key: str) -> DataFrame:
-    """(key, crossings): heavy paths that a lookup passes, one and one more wherever the sibling is as large or larger."""
-    pre = bit_prefixes(keys, key).where(F.col("depth") > 0)
-    size = pre.groupBy("prefix").agg(F.count("*").alias("n"))
-    flipped = F.concat(F.substring("prefix", F.lit(1), F.length("prefix") - 1), F.when(F.substring("prefix", F.length("prefix"), F.lit(1)) == "1", "0").otherwise("1"))
-    both = size.select(flipped.alias("sibling"), F.col("prefix"), "n").join(size.select(F.col("prefix").alias("sibling"), F.col("n").alias("m")), "sibling", "left")
-    light = both.where(F.col("m") >= F.col("n")).select("prefix")
-    crossed = pre.join(light, "prefix").groupBy("key").agg(F.count("*").alias("c"))
-    return keys.select(F.col(key).alias("key")).join(crossed, "key", "left").select("key", (F.coalesce("c", F.lit(0)) + 1).cast("bigint").alias("crossings"))
+    """(key, crossings) per distinct key: heavy paths that a lookup passes, one and one more wherever the sibling is as
+    large or larger.
+
+    A sibling exists only where keys part, so keys are counted by the bytes before a place (hashed to 128 bits) and the byte there, in
+    place of every bit: a row of fixed size for each byte, summed before the shuffle. Where two bytes or more follow, at most
+    256 counts give the sizes of both sides of each bit; only bytes with a larger sibling are joined back.
+    """
+    at = keys.select(F.col(key).alias("key")).where(F.octet_length("key") > 0).select("key", F.explode(F.sequence(F.lit(0), F.octet_length("key") - 1)).alias("depth"))
+    before = F.substring("key", F.lit(1), F.col("depth"))
+    byte = F.conv(F.hex(F.substring("key", F.col("depth") + 1, F.lit(1))), 16, 10).cast("int")
+    node = ["depth", "h", "h2"]
+    steps = at.select("key", "depth", F.xxhash64(before).alias("h"), F.xxhash64(F.lit(1), before).alias("h2"), byte.alias("byte"))
+    sides = steps.groupBy(*node, "byte").agg(F.count("*").alias("n")).groupBy(*node).agg(F.collect_list(F.struct("byte", "n")).alias("all")).where(F.size("all") > 1)
+
+    def size(side: Column, bit: Column) -> Column:
+        below = F.filter("all", lambda x: F.call_function("shiftright", x["byte"], bit) == side)
+        return F.aggregate(below, F.lit(0).cast("long"), lambda total, x: total + x["n"])
+
+    def larger(bit: Column) -> Column:
+        side = F.call_function("shiftright", F.col("byte"), bit)
+        return size(side.bitwiseXOR(F.lit(1)), bit) >= size(side, bit)
+
+    parted = sides.select(*node, "all", F.explode("all.byte").alias("byte"))
+    light = parted.select(*node, "byte", F.size(F.filter(F.sequence(F.lit(0), F.lit(7)), larger)).cast("long").alias("c")).where(F.col("c") > 0)
+    passed = steps.join(light, [*node, "byte"]).select("key", "c")
+    return keys.select(F.col(key).alias("key"), F.lit(1).cast("long").alias("c")).distinct().unionByName(passed).groupBy("key").agg(F.sum("c").alias("crossings"))
