@@ -80,7 +80,19 @@ class Model:
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """rows: label 0 or 1, buckets, shares. Vectors start as small noise, the layer at zero."""
+    """rows: label 0 or 1, buckets, shares. Vectors start as small noise, the layer at zero.
+
+    A rate at which the weights overflow is halved, and training starts anew.
+    """
+    while True:
+        with np.errstate(all="ignore"):
+            model = _descend(rows, epochs, rate, seed)
+        if np.isfinite(model.weights).all() and np.isfinite(model.bias):
+            return model
+        rate /= 2
+
+
+def _descend(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate: float, seed: int) -> Model:
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
@@ -100,8 +112,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = EPOCH
             layer -= lr * np.outer(p, hidden)
             bias -= lr * p
             if len(ids):
-                # a bucket's gradient is its share; scaled by the number of buckets, so that rare ones move too
-                vectors[ids] = own - (lr * len(ids) * share)[:, None] * back[None, :]
+                # divided by the sum of squares, a step moves the document's average by the rate times its gradient,
+                # however many features share it and however unequally
+                vectors[ids] = own - (lr / np.dot(share, share) * share)[:, None] * back[None, :]
     return Model((vectors @ (layer[1] - layer[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
@@ -123,12 +136,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [document_features(t, most) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=["_id", "_label", "ids", "share"])
-
-    schema = found.select("_id", "_label").schema.add("ids", "binary").add("share", "binary")
-    rows = [(r["_label"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), r["_id"]) for r in found.mapInArrow(run, schema).toLocalIterator()]
-    rows.sort(key=lambda r: (r[3], r[0], r[1].tobytes()))
-    return train([r[:3] for r in rows], **kw)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=[*key, "ids", "share"])
+
+    key = ["_id", "_label", "_row"]
+    schema = found.select(*key).schema.add("ids", "binary").add("share", "binary")
+    # memory of these two is taken only as far as it is filled, and given back as a whole
+    ids, share, rows, at = np.empty(sample * most, np.int32), np.empty(sample * most, np.float32), [], 0
+    for r in found.select(*key, "_text").mapInArrow(run, schema).toLocalIterator():
+        n = len(r["ids"]) // 4
+        ids[at : at + n], share[at : at + n] = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)
+        rows.append((r["_id"], r["_label"], r["_row"], at, at + n))
+        at += n
+    rows.sort()
+    return train([(label, ids[i:j], share[i:j]) for _, label, _, i, j in rows], **kw)
 
 
 class Scorer:
