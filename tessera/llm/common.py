@@ -61,7 +61,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.folder(name)
-        df.write.parquet(path)
+        # no _SUCCESS: nobody looks for it, and Hadoop's local file system without native code starts processes to set a file's mode
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
         out._scratch_path = path
         return out

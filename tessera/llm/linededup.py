@@ -26,10 +26,9 @@ ones named like the two counts, which are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessera.llm.common import Scratch, apart, maybe_in, own_names, without
 
@@ -131,13 +130,11 @@ def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.write(_shared(variants, "v"), "shared")
     met = maybe_in(variants, F.col("v"), shared, F.col("v")).join(shared, "v").join(texts.select(*NAME, "place"), NAME)
     met = scratch.write(met, "met")
-    deleted, itself = met.where(F.col("at") > 0), met.where(F.col("at") == 0)
-    lowest = F.min(F.struct("place", *NAME)).alias("low")
-    same = deleted.join(deleted.groupBy("v", "at").agg(lowest), ["v", "at"])
-    longer = deleted.join(itself.groupBy("v").agg(lowest), "v")
-    shorter = itself.join(deleted.groupBy("v").agg(lowest), "v")
-    low = F.col("low")
-    pairs = reduce(DataFrame.unionByName, [x.where(low["place"] < F.col("place")).select(*NAME, low["d"].alias("e"), low["d2"].alias("e2")) for x in (same, longer, shorter)]).distinct()
+    low, of = F.col("low"), W.partitionBy("v")  # a variant has few deleted places, however many lines have it
+    lows = met.groupBy("v", "at").agg(F.min(F.struct("place", *NAME)).alias("low"))
+    lows = lows.withColumn("_itself", F.min(F.when(F.col("at") == 0, low)).over(of)).withColumn("_deleted", F.min(F.when(F.col("at") > 0, low)).over(of))
+    lows = lows.select("v", "at", F.when(F.col("at") > 0, F.array(low, "_itself")).otherwise(F.array("_deleted")).alias("lows"))
+    pairs = met.join(lows, ["v", "at"]).select(*NAME, "place", F.explode("lows").alias("low")).where(low["place"] < F.col("place")).select(*NAME, low["d"].alias("e"), low["d2"].alias("e2")).distinct()
     a, b = texts.select(*NAME, "place", F.col("line").alias("_a")), texts.select(F.col("d").alias("e"), F.col("d2").alias("e2"), F.col("line").alias("_b"))
     near = pairs.join(a, NAME).join(b, ["e", "e2"]).where(F.levenshtein("_a", "_b", 1) >= 0).select(*NAME, "place").distinct()
     near = scratch.write(near, "near")

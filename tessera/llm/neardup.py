@@ -248,8 +248,8 @@ def _block(words: int, percent: int, least: list[int]):
 def label(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(cid, comp) of every node of links (a, b): comp is the smallest node reachable.
 
-    Alternating large and small stars; each round writes its edges. A hub's edges are grouped with partial
-    minima; where they are joined to their minimum, a hub is a skewed key on one side only, which Spark splits.
+    Alternating large and small stars; each round writes its edges, until one leaves them as they were. A hub's edges
+    are grouped with partial minima; where they are joined to their minimum, a hub is a skewed key on one side only, which Spark splits.
     """
     def star(edges: DataFrame, large: bool, name: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -260,14 +260,19 @@ def label(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
             moved = moved.unionByName(lows.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return scratch.write(moved.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
 
+    def seen(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
     edges = scratch.write(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    was = None
+    was = seen(edges)
     for _ in range(rounds):
+        if not was[0]:
+            break
         large = star(edges, True, "large")
         small = star(large, False, "small")
         scratch.drop(edges, large)
         edges = small
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+        now = seen(edges)
         if now == was:
             break
         was = now
@@ -316,11 +321,17 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
         several = parts.groupBy("band", "h").agg(F.count("*").alias("parts"), F.max_by("comp", "c").alias("main"), F.max("n").alias("n")).where(F.col("parts") > 1)
         return scratch.write(with_buckets(placed, several.select("band", "h", "main", "n")), "mixed")
 
-    links = star(members.withColumn("comp", F.col("cid")), 0)
-    open_ = mixed(scratch.write(label(links, scratch), "components"))
+    def joined(comp: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """``comp`` after some more links."""
+        return scratch.write(label(comp.select(F.col("cid").alias("a"), F.col("comp").alias("b")).unionByName(links), scratch), name)
+
+    comp = scratch.write(label(star(members.withColumn("comp", F.col("cid")), 0), scratch), "components")
+    open_ = mixed(comp)
     for turn in range(1, TURNS):
-        links = links.unionByName(star(open_, turn))
-        open_ = mixed(scratch.write(label(links, scratch), "components"))
+        links = star(open_, turn)
+        if not links.isEmpty():  # else components are as they were, and so is what is mixed
+            comp = joined(comp, links, "components")
+            open_ = mixed(comp)
     outside = F.col("comp") != F.col("main")
     sizes = open_.groupBy("band", "h").agg(F.count_if(outside).alias("lefts"), F.count("*").alias("rights")).where((F.col("lefts") > 0) & (F.col("rights") > 1))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
@@ -330,7 +341,8 @@ def components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: st
     rights = rest.select("cid", "comp", "band", "h", F.explode(F.sequence(F.lit(0), blocks("lefts") - 1)).alias("i"), own("rights").alias("j"), F.lit(1).alias("side"), outside.alias("outside"))
     dealt = lefts.unionByName(rights).join(text, "cid")
     more = scratch.write(dealt.groupBy("band", "h", "i", "j").applyInPandas(_block(words, percent, least), "a binary, b binary"), "rest")
-    comp = scratch.write(label(links.unionByName(more), scratch), "components2")
+    if not more.isEmpty():
+        comp = joined(comp, more, "components2")
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.join(first, "comp").select(F.col("cid").alias("_cid"), "component_id", F.col("comp").alias("component"))

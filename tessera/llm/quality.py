@@ -5,7 +5,7 @@ Words (runs without white space) and their character n-grams, with word boundari
 Training is stochastic gradient descent in numpy, one document at a time, on a bounded sample of labelled
 documents (``sample`` rows of text and label, with the smallest seeded hash of their id; 6,000 unless stated), from
 which the executors send only hashed features: of a document with more than ``most`` distinct ones (8,192 unless
-stated) those with the smallest seeded hash, wherever they are in the text. Both bounds hold for training alone. As the average and the layer are linear, a trained model scores a
+stated) those with the smallest seeded hash, wherever they are in the text. They lie in a temporary file of the driver. Both bounds hold for training alone. As the average and the layer are linear, a trained model scores a
 word by one number, which a worker remembers for up to ``MEMO`` words.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; a document of
@@ -15,6 +15,8 @@ any label every score is 0.5. Rows that repeat are scored one by one; an empty t
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -94,7 +96,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = EPOCH
 
 def _descend(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate: float, seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    vectors = ((rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM).astype(np.float32)
+    vectors = rng.random((BUCKETS, DIM), np.float32)
+    vectors -= 0.5  # in place, without copies
+    vectors /= DIM
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
@@ -140,13 +144,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     key = ["_id", "_label", "_row"]
     schema = found.select(*key).schema.add("ids", "binary").add("share", "binary")
-    # memory of these two is taken only as far as it is filled, and given back as a whole
-    ids, share, rows, at = np.empty(sample * most, np.int32), np.empty(sample * most, np.float32), [], 0
-    for r in found.select(*key, "_text").mapInArrow(run, schema).toLocalIterator():
-        n = len(r["ids"]) // 4
-        ids[at : at + n], share[at : at + n] = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)
-        rows.append((r["_id"], r["_label"], r["_row"], at, at + n))
-        at += n
+    rows, at = [], 0
+    with tempfile.TemporaryFile() as kept:  # the features lie in a file, filled as far as there are any: training needs one text's at a time
+        kept.truncate(max(8, 8 * sample * most))
+        room = mmap.mmap(kept.fileno(), 0)
+        ids, share = np.frombuffer(room, np.int32)[: sample * most], np.frombuffer(room, np.float32)[sample * most :]
+        for r in found.select(*key, "_text").mapInArrow(run, schema).toLocalIterator():
+            n = len(r["ids"]) // 4
+            ids[at : at + n], share[at : at + n] = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)
+            rows.append((r["_id"], r["_label"], r["_row"], at, at + n))
+            at += n
     rows.sort()
     return train([(label, ids[i:j], share[i:j]) for _, label, _, i, j in rows], **kw)
 

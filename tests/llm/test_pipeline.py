@@ -1,14 +1,17 @@
 """The stages one after the other: what each drops and keeps, and the columns."""
 
+import mmap
+import os
 import random
 import re
 
+import numpy as np
 import support
 from hostile_rows import hostile, own_values
-from test_documents import brute_components, brute_hits, edit_within_one, prose
+from test_documents import brute_components, brute_hits, edit_within_one, near_texts, prose
 
 import corpus_pipeline
-from tessera.llm import decontaminate, mixing, quality
+from tessera.llm import common, decontaminate, mixing, neardup, quality
 
 
 def test_stages(spark, tmp_path):
@@ -129,3 +132,57 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{support.DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, support.DATA).count() == 0
+
+
+def written(monkeypatch):
+    """Gets the name and path of each scratch table from now on."""
+    out, write = [], common.Scratch.write
+
+    def noted(self, df, name):
+        frame = write(self, df, name)
+        out.append((name, frame._scratch_path.removeprefix("file://")))
+        return frame
+
+    monkeypatch.setattr(common.Scratch, "write", noted)
+    return out
+
+
+def test_components_are_labelled_only_after_new_links(spark, monkeypatch):
+    """Each job leaves its plans and metrics in the driver's memory; scratch tables have no marker of success."""
+    rng, tables = random.Random(30), written(monkeypatch)
+    base = prose(rng, 90).split()
+    alike = [" ".join([*base[:55], *(f"own{k}x{i}" for i in range(35))]) for k in range(40)]  # in buckets together, but no pair is linked
+    rows = list(enumerate(alike + [prose(rng, 60) for _ in range(20)]))
+    out = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=80)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == brute_components(rows, 3, 80)
+    names = [n for n, _ in tables]
+    assert names.count("mixed") == 1 and not {"large", "small", "components2"} & set(names) and names.count("members") == 1
+    assert not any("_SUCCESS" in os.listdir(path) for _, path in tables if os.path.isdir(path))
+
+
+def test_links_of_later_turns_join_components(spark, monkeypatch):
+    """Components that are grown turn by turn are those of all links at once."""
+    rng, tables = random.Random(31), written(monkeypatch)
+    rows = list(enumerate(t for _ in range(3) for t in near_texts(rng)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.components(frame, words=3, percent=85).collect())
+    assert got == brute_components(rows, 3, 85)
+    assert "large" in [n for n, _ in tables]
+
+
+def test_the_sample_lies_in_a_file(spark, monkeypatch):
+    """What training gathers isn't memory of the driver's own."""
+    rng, seen = random.Random(32), []
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+
+    def train(rows, **kw):
+        for _, *arrays in rows:
+            for x in arrays:
+                while isinstance(x, np.ndarray):
+                    x = x.base
+                seen.append(x.obj if isinstance(x, memoryview) else x)
+
+    monkeypatch.setattr(quality, "train", train)
+    quality.fit(docs, labels)
+    assert len(seen) > 20 and all(isinstance(x, mmap.mmap) for x in seen)
